@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm import exact_dedup, minhash
+from tesserae.llm import exact_dedup, minhash, quality
 from tesserae.runtime import table
 
 
@@ -10,11 +10,15 @@ def op1_minhash_dedup(spark, sf_dir):
     return minhash.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark, sf_dir):
+    return quality.signals(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op7_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op4_quality_rules, op7_exact_dedup)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
