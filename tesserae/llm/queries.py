@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from tesserae.llm import exact_dedup, minhash, quality
+import public_tokenizers
+
+from tesserae.llm import bpe, exact_dedup, minhash, packing, quality
 from tesserae.runtime import table
 
 
+BYTE_BPE = "byte_bpe_50k.json"
+
+
 def op1_minhash_dedup(spark, sf_dir):
     return minhash.near_copies(table(spark, sf_dir, "documents"))
 
@@ -14,11 +19,19 @@ def op4_quality_rules(spark, sf_dir):
     return quality.signals(table(spark, sf_dir, "documents"))
 
 
+def op5_pack(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op4_quality_rules, op7_exact_dedup)}
+def op8_bpe(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op4_quality_rules, op5_pack, op7_exact_dedup, op8_bpe)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
