@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tesserae.llm import bpe, exact_dedup, minhash, packing, quality
+from tesserae.llm import bpe, exact_dedup, minhash, packing, quality, toxicity
 from tesserae.runtime import table
 
 
@@ -31,7 +31,11 @@ def op8_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op4_quality_rules, op5_pack, op7_exact_dedup, op8_bpe)}
+def op9_toxicity(spark, sf_dir):
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op4_quality_rules, op5_pack, op7_exact_dedup, op8_bpe, op9_toxicity)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
