@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tesserae.llm import bpe, exact_dedup, minhash, packing, quality, toxicity
+from tesserae.llm import bpe, exact_dedup, minhash, packing, quality, toxicity, warc
 from tesserae.runtime import table
 
 
@@ -23,6 +23,10 @@ def op5_pack(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op6_warc(spark, sf_dir):
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
 
@@ -35,9 +39,17 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op4_quality_rules, op5_pack, op7_exact_dedup, op8_bpe, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op4_quality_rules, op5_pack, op6_warc, op7_exact_dedup, op8_bpe, op9_toxicity)}
 
 ORACLE_SQL = {
+    "op6_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+             d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+             g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keep FROM d),
+             r AS (SELECT *, payload_bytes >= 1000 AND page_id <> keep AS again FROM g)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN again THEN keep END AS refers_to, true AS sound
+        FROM r""",
     "op7_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
