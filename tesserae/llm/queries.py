@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tesserae.llm import bpe, exact_dedup, minhash, packing, quality, toxicity, warc
+from tesserae.llm import bpe, chat, exact_dedup, licenses, line_dedup, minhash, packing, quality, toxicity, warc
 from tesserae.runtime import table
 
 
@@ -15,6 +15,14 @@ def op1_minhash_dedup(spark, sf_dir):
     return minhash.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_format(spark, sf_dir):
+    return chat.formatted(*chat.turns_as_calls(table(spark, sf_dir, "conversations")), chat.ASK)
+
+
+def op3_line_dedup(spark, sf_dir):
+    return line_dedup.mark_lines(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality.signals(table(spark, sf_dir, "documents"))
 
@@ -39,9 +47,25 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op4_quality_rules, op5_pack, op6_warc, op7_exact_dedup, op8_bpe, op9_toxicity)}
+def op10_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_chat_format, op3_line_dedup, op4_quality_rules, op5_pack, op6_warc, op7_exact_dedup, op8_bpe, op9_toxicity, op10_license_scan)}
 
 ORACLE_SQL = {
+    "op2_chat_format": """
+        WITH c AS (SELECT conv_id, turn, text, conv_id || '-' || turn AS call_id FROM conversations WHERE role = 'user'),
+             g AS (SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM c),
+             l AS (SELECT *, row_number() OVER (PARTITION BY conv_id, run ORDER BY turn) - 1 AS level FROM g),
+             r AS (SELECT conv_id || '-' || (turn - 1) AS call_id, turn AS result_turn, text AS result FROM conversations WHERE role = 'assistant')
+        SELECT coalesce(l.call_id, r.call_id) AS call_id, conv_id, turn AS call_turn, result_turn,
+               CASE WHEN l.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+               level, true AS valid, []::VARCHAR[] AS problems,
+               '{"arguments":' || CASE WHEN l.call_id IS NULL THEN '{}' ELSE '{"text":' || to_json(text) || ',"turn":' || turn || '}' END
+               || ',"id":"' || coalesce(l.call_id, r.call_id) || '","name":' || CASE WHEN l.call_id IS NULL THEN 'null' ELSE '"ask"' END
+               || ',"result":' || coalesce(to_json(result)::VARCHAR, 'null') || ',"valid":true}' AS message_json
+        FROM l FULL JOIN r ON l.call_id = r.call_id""",
     "op6_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
              d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS payload_digest FROM p),
