@@ -29,3 +29,6 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLE)
+
+
+from tesserae.plans import assay, choose, curate, evaluate, stream  # noqa: E402,F401

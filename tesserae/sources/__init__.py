@@ -1,0 +1,146 @@
+"""Readers and writers: delimited files, structure lists, record files, plate matrices, JSON stores, Parquet tables.
+
+All files are read and written by Spark's own readers and writers, so any store that Spark reaches will do. Schemas are
+given or all columns are text; nothing is inferred by a second pass.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Fixed value: ends a record of a structure-data file.
+RECORD_END = "$$$$"
+
+
+def read_delimited(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
+    """A CSV file, or one with tabs if the path ends in .tsv; with a header. Without a schema all columns are text."""
+    reader = spark.read.option("header", True).option("sep", "\t" if path.rstrip("/").endswith(".tsv") else ",")
+    return (reader.schema(schema) if schema else reader).csv(path)
+
+
+def read_structures(spark: SparkSession, path: str, column: str = "smiles") -> DataFrame:
+    """A delimited file with a structure column under any case of its name, as ``smiles``, ``mol_id`` and the rest.
+
+    Fails if the column is missing; ``is_valid`` is whether the text is there and its brackets and ring digits pair up.
+    """
+    df = read_delimited(spark, path)
+    found = [c for c in df.columns if c.lower() == column.lower()]
+    if not found:
+        raise ValueError(f"no column {column} in {path}: {', '.join(df.columns)}")
+    df = df.withColumnRenamed(found[0], "smiles")
+    return df if "mol_id" in df.columns else df.withColumn("mol_id", F.concat(F.lit("mol_"), F.monotonically_increasing_id().cast("string")))
+
+
+def read_smi(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of structure and identifier; blank lines and those that start with # are skipped."""
+    rows = spark.read.text(path).select(F.trim("value").alias("line")).filter("line <> '' AND NOT startswith(line, '#')")
+    parts = F.split("line", r"\s+", 2)
+    return rows.select(parts[0].alias("smiles"), F.get(parts, 1).alias("mol_id"))
+
+
+def read_lines(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
+    """A delimited text file without its first ``skip`` lines, as arrays of fields; for reader exports with a preamble."""
+    whole = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+    lines = whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    return lines.filter((F.col("line_no") >= skip) & (F.trim("line") != "")).select("file", "line_no", F.split("line", ",").alias("fields"))
+
+
+def read_plate_matrix(spark: SparkSession, path: str, n_columns: int = 12) -> DataFrame:
+    """A plate matrix (row letter, then a value per column, with a header) as well, row, column and value."""
+    from tesserae.operators.assay import matrix_to_long
+
+    names = [str(i + 1) for i in range(n_columns)]
+    schema = T.StructType([T.StructField("row", T.StringType()), *(T.StructField(n, T.DoubleType()) for n in names)])
+    return matrix_to_long(read_delimited(spark, path, schema), "row", names)
+
+
+def read_plate_long(spark: SparkSession, path: str, well: str = "well", value: str = "value") -> DataFrame:
+    """Well names and values as well, row, column and value."""
+    from tesserae.operators.assay import split_wells
+
+    df = read_delimited(spark, path).select(F.col(well).alias("well"), F.expr(f"try_cast(`{value}` AS double)").alias("value"))
+    return split_wells(df)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of structure-data files: title, the block up to M END, and the data fields as a map.
+
+    Files are split at the record mark by the reader, so a file is not held whole. An incomplete record has a null block.
+    """
+    rows = spark.read.option("lineSep", RECORD_END).text(path)
+    text = F.regexp_replace(F.regexp_replace("value", r"\r", ""), r"^\n", "")
+    rows = rows.select(text.alias("t")).filter(F.trim(F.regexp_replace("t", r"\s+", " ")) != "")
+    fields = F.regexp_extract_all("t", F.lit(r"(?m)^> +<([^>]+)>[^\n]*\n((?:(?!> +<)[^\n]+\n?)*)"), 1)
+    values = F.transform(F.regexp_extract_all("t", F.lit(r"(?m)^> +<([^>]+)>[^\n]*\n((?:(?!> +<)[^\n]+\n?)*)"), 2), lambda x: F.rtrim(F.regexp_replace(x, r"\n+$", "")))
+    block = F.when(F.col("t").contains("M  END"), F.concat(F.substring_index("t", "M  END", 1), F.lit("M  END")))
+    unique = F.map_from_entries(F.transform(F.array_distinct(fields), lambda n: F.struct(n, F.get(values, F.array_position(fields, n).cast("int") - 1))))
+    return rows.select(F.trim(F.substring_index("t", "\n", 1)).alias("title"), block.alias("block"), unique.alias("properties"))
+
+
+def flattened(records: DataFrame, names: list[str]) -> DataFrame:
+    """Chosen properties of records as columns."""
+    return records.select("title", "block", *(F.try_element_at("properties", F.lit(n)).alias(n) for n in names))
+
+
+def write_records(df: DataFrame, path: str, title: str, block: str, properties: list[str]) -> None:
+    """Rows as structure-data records; properties that are null are left out."""
+    fields = [F.when(F.col(p).isNotNull(), F.concat(F.lit(f"\n> <{p}>\n"), F.col(p).cast("string"), F.lit("\n"))).otherwise("") for p in properties]
+    body = F.regexp_replace(F.col(block), r"^[^\n]*\n", "")
+    text = F.concat(F.coalesce(F.col(title).cast("string"), F.lit("")), F.lit("\n"), body, *fields, F.lit("\n"))
+    df.filter(F.col(block).isNotNull()).select(text.alias("value")).write.option("lineSep", RECORD_END + "\n").text(path)
+
+
+def read_blocks(spark: SparkSession, folder: str, glob: str = "*.mol2") -> DataFrame:
+    """A folder of one-structure files: path and text."""
+    return spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(folder).select(F.input_file_name().alias("path"), F.col("value").alias("block"))
+
+
+def read_json(spark: SparkSession, path: str, schema: str, field: str | None = None) -> DataFrame:
+    """JSON documents by a schema; with ``field``, the elements of that array, one a row; a missing array gives none."""
+    df = spark.read.schema(schema).option("multiLine", True).json(path)
+    return df.select(F.explode(field).alias("_r")).select("_r.*") if field else df
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def save_catalogue(df: DataFrame, path: str, partition: str = "source") -> None:
+    """The native catalogue: Parquet by source, so that a search in one source prunes the others."""
+    df.write.mode("overwrite").partitionBy(partition).parquet(path)
+
+
+#: Registered data sets, their task and the columns of structure and target.
+DATASETS = {
+    "esol": ("regression", "smiles", "measured log solubility in mols per litre"),
+    "freesolv": ("regression", "smiles", "expt"),
+    "lipophilicity": ("regression", "smiles", "exp"),
+    "bace": ("classification", "mol", "Class"),
+    "bbbp": ("classification", "smiles", "p_np"),
+    "tox21": ("classification", "smiles", "NR-AR"),
+    "sider": ("classification", "smiles", "Hepatobiliary disorders"),
+    "clintox": ("classification", "smiles", "CT_TOX"),
+    "hiv": ("classification", "smiles", "HIV_active"),
+}
+#: Tasks of the property model and the range of their values.
+TASKS = {"solubility": (-10.0, 2.0), "permeability": (-8.0, -4.0), "cyp3a4": (0.0, 1.0), "herg": (0.0, 1.0), "logd": (-2.0, 6.0), "pka": (0.0, 14.0)}
+
+
+def datasets(spark: SparkSession) -> DataFrame:
+    """The registry as a relation."""
+    return spark.createDataFrame([(n, *v) for n, v in DATASETS.items()], "name string, task string, smiles_column string, target_column string")
+
+
+def load_dataset(spark: SparkSession, name: str, folder: str) -> DataFrame:
+    """A registered data set's file as smiles and target; ValueError for an unknown name."""
+    if name not in DATASETS:
+        raise ValueError(f"unknown data set {name}: one of {', '.join(DATASETS)}")
+    _, smiles, target = DATASETS[name]
+    df = read_delimited(spark, f"{folder}/{name}.csv")
+    return df.select(F.col(f"`{smiles}`").alias("smiles"), F.expr(f"try_cast(`{target}` AS double)").alias("target"))
