@@ -26,6 +26,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import regex
 
 #: Fixed value: the pre-tokenizer's pattern of byte-level files.
@@ -69,8 +70,11 @@ class Automaton:
             self.lost.setdefault(left << 32 | right, moment)
             if self.made[made] < 0:
                 self.made[made], self.copied[made], self.head[made] = moment, right, left
-        # a token whose own pair could no longer be read when its turn came is never written
-        dead = {m for k, (a, b, m) in enumerate(merges) if not self._has_arc(a, b, k)}
+        # a token whose own pair could no longer be read when its turn came is never written, nor is one made from it
+        dead: set[int] = set()
+        for moment, (left, right, made) in enumerate(merges):
+            if left in dead or right in dead or not self._has_arc(left, right, moment):
+                dead.add(made)
         self._arcs: dict[int, bool] = {}
         #: The byte trie: what each node leads to, and the token that ends there or -1.
         self.next: list[dict[int, int]] = [{}]
@@ -283,7 +287,6 @@ def encode(docs, path: str, id_col: str = "doc_id", text_col: str = "text"):
 
 def decode(rows, path: str, ids_col: str = "ids", out_col: str = "text"):
     """``rows`` and the text that each row's ids spell; null ids give a null text."""
-    import pandas as pd
     from pyspark.sql import functions as F
 
     @F.pandas_udf("string")
