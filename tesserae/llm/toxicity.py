@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -53,11 +52,6 @@ class Text:
     grams: np.ndarray
     gram_of: np.ndarray
 
-    @cached_property
-    def kinds(self) -> np.ndarray:
-        """The distinct n-grams."""
-        return np.unique(self.grams)
-
 
 def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
@@ -98,7 +92,7 @@ def read(texts: pa.Array) -> Text:
         inside = owner[:m] == owner[n - 1 :]
         grams.append((mix(code[inside] + np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int64))
         owners.append(owner[:m][inside])
-    grams, owners = np.concatenate(grams), np.concatenate(owners)
+    grams, owners = np.concatenate(grams).astype(np.int32), np.concatenate(owners).astype(np.int32)
     order = np.argsort(owners, kind="stable")
     return Text(words.count, word, found, grams[order], owners[order])
 
@@ -140,21 +134,19 @@ def _odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> n
     return (np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))) * seen / (seen + 2) * (seen > 1)
 
 
-def evidence(texts: list[Text], label: np.ndarray) -> Evidence:
+def evidence(words: list[np.ndarray], kinds: list[np.ndarray], label: np.ndarray) -> Evidence:
     """Counted over whole training texts, each word and n-gram once a text."""
     n = np.array([(label == 0).sum(), (label == 1).sum()])
     grams = np.zeros((2, BUCKETS))
-    each = []
-    for t, y in zip(texts, label, strict=True):
-        grams[y, t.kinds] += 1
-        each.append(t.hashes)
-    owner = np.repeat(label, [len(x) for x in each])
-    words, at = np.unique(np.concatenate(each) if each else np.zeros(0, np.uint64), return_inverse=True)
-    toxic = np.bincount(at, owner == 1, len(words))
-    clean = np.bincount(at, owner == 0, len(words))
+    for k, y in zip(kinds, label, strict=True):
+        grams[y, k] += 1
+    owner = np.repeat(label, [len(x) for x in words])
+    found, at = np.unique(np.concatenate(words) if words else np.zeros(0, np.uint64), return_inverse=True)
+    toxic = np.bincount(at, owner == 1, len(found))
+    clean = np.bincount(at, owner == 0, len(found))
     often = toxic + clean > 1
     value = _odds(toxic, clean, n[1], n[0])[often].astype(np.float32)
-    return Evidence(words[often], value, np.log1p(toxic + clean)[often].astype(np.float32) / 4, _odds(grams[1], grams[0], n[1], n[0]).astype(np.float32))
+    return Evidence(found[often], value, np.log1p(toxic + clean)[often].astype(np.float32) / 4, _odds(grams[1], grams[0], n[1], n[0]).astype(np.float32))
 
 
 def windows(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,51 +286,73 @@ def _window_logits(net: Net, x: np.ndarray, word: np.ndarray, place: np.ndarray,
     return np.concatenate([net.forward(x, at[i : i + size], there[i : i + size]) for i in range(0, len(at), size)])
 
 
-def fit(texts: list[str | None], label: np.ndarray, epochs: int = 2, per_text: int = 20, batch: int = 512, seed: int = 0) -> Model | None:
+def _part(x: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What forward() takes for some windows, with only those rows of x (the last for -1) that they name."""
+    there = rows >= 0
+    used, at = np.unique(np.where(there, rows, len(x) - 1), return_inverse=True)
+    return x[used], at.reshape(rows.shape), there
+
+
+def fit(texts: list[str | None], label: np.ndarray, steps: int = 220, per_text: int = 20, batch: int = 512, seed: int = 0) -> Model | None:
     """The model of labelled texts, or None if the labels are all alike.
 
-    The network learns from at most ``per_text`` windows of a text in an epoch, drawn anew each time; the evidence and the
-    unit over a text's windows from whole texts.
+    The network takes ``steps`` steps of ``batch`` windows, at most ``per_text`` of a text a round, drawn anew each time;
+    the evidence and the unit over a text's windows learn from whole texts.
     """
     label = np.asarray(label, np.int64)
     if not 0 < label.sum() < len(label):
         return None
     r = np.random.default_rng(seed)
-    read_ = [read(pa.array([t], pa.large_string())) for t in texts]
     fold = r.permutation(len(texts)) % FOLDS
-    tables = [evidence([t for t, f in zip(read_, fold, strict=True) if f != k], label[fold != k]) for k in range(FOLDS)]
-    inputs = [tables[k].inputs(t) for t, k in zip(read_, fold, strict=True)]
-    base = np.cumsum([0] + [len(x) for x in inputs])
+    # texts are read twice, so that their n-grams needn't be held
+    words, kinds = [], []
+    for t in texts:
+        one = read(pa.array([t], pa.large_string()))
+        words.append(one.hashes)
+        kinds.append(np.unique(one.grams))
+    pick = lambda x, k: [v for v, f in zip(x, fold, strict=True) if f != k]
+    tables = [evidence(pick(words, k), pick(kinds, k), label[fold != k]) for k in range(FOLDS)]
+    whole = evidence(words, kinds, label)
+    del words, kinds
+    inputs, at, base = [], [], 0
+    for t, k in zip(texts, fold, strict=True):
+        one = read(pa.array([t], pa.large_string()))
+        span = windows(one.count)[0]
+        inputs.append(tables[k].inputs(one))
+        # -1: a place after the text's end
+        at.append(np.where(span >= 0, one.word[np.maximum(span, 0)] + base, -1).astype(np.int32) if len(one.word) else span.astype(np.int32))
+        base += len(inputs[-1])
     x = np.vstack([*inputs, _PAD])
-    spans = [windows(t.count)[0] for t in read_]
-    at = [np.where(s >= 0, t.word[np.maximum(s, 0)] + b if len(t.word) else 0, len(x) - 1) for s, t, b in zip(spans, read_, base[:-1], strict=True)]
+    del inputs
     net = Net(seed)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    step = 0
-    for epoch in range(epochs):
-        chosen = [(d, w) for d, a in enumerate(at) for w in (range(len(a)) if len(a) <= per_text else r.choice(len(a), per_text, replace=False))]
-        chosen = np.array(chosen, np.int64).reshape(-1, 2)[r.permutation(len(chosen))]
-        for i in range(0, len(chosen), batch):
-            part = chosen[i : i + batch]
-            rows = np.stack([at[d][w] for d, w in part])
-            there = np.stack([spans[d][w] >= 0 for d, w in part])
-            kept: dict = {}
-            logit = net.forward(x, rows, there, kept)
-            y = label[part[:, 0]].astype(np.float32)
-            grads = net.backward(kept, (_sigmoid(logit) - y) / len(part))
-            step += 1
-            rate = 0.02 / (1 + 2 * epoch)
-            for k, g in grads.items():
-                m, v = moment[k]
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                net.p[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+    chosen = np.zeros((0, 2), np.int64)
+    for step in range(1, steps + 1):
+        while len(chosen) < batch:
+            # the windows of the next round: at most per_text of each text, in a new order
+            drawn = [(d, w) for d, a in enumerate(at) for w in (range(len(a)) if len(a) <= per_text else r.choice(len(a), per_text, replace=False))]
+            if not drawn:
+                return None
+            chosen = np.concatenate([chosen, np.array(drawn, np.int64)[r.permutation(len(drawn))]])
+        part, chosen = chosen[:batch], chosen[batch:]
+        rows = np.stack([at[d][w] for d, w in part])
+        kept: dict = {}
+        logit = net.forward(*_part(x, rows), kept)
+        y = label[part[:, 0]].astype(np.float32)
+        grads = net.backward(kept, (_sigmoid(logit) - y) / len(part))
+        rate = 0.02 / (1 + 2 * step / steps)
+        for k, g in grads.items():
+            m, v = moment[k]
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            net.p[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
     made = np.zeros((len(texts), 4))
-    for d, (s, t) in enumerate(zip(spans, read_, strict=True)):
-        if len(s):
-            made[d] = _summary(_window_logits(net, np.vstack([inputs[d], _PAD]), t.word, s), np.zeros(len(s), np.int64), 1)[0]
-    some = np.array([len(s) > 0 for s in spans])
-    return Model(evidence(read_, label), net, _logistic(made[some], label[some]))
+    for d, rows in enumerate(at):
+        if len(rows):
+            logit = np.concatenate([net.forward(*_part(x, w)) for w in np.split(rows, range(4096, len(rows), 4096))])
+            made[d] = _summary(logit, np.zeros(len(rows), np.int64), 1)[0]
+    some = np.array([len(rows) > 0 for rows in at])
+    return Model(whole, net, _logistic(made[some], label[some]))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
