@@ -1,7 +1,7 @@
 """Chat formatting with tool calls: link calls to results, order them, validate arguments, serialise canonical JSON.
 
-Calls and results are hash-joined by identifier. A call may name calls whose results it needs; calls are placed level by
-level (a call's level is one more than the highest it needs), the calls of a level found by one join over what is left.
+Calls and results are hash-joined by identifier. A call may name calls whose results it needs; its level in the
+topological order is one more than the highest of theirs.
 Arguments are checked against the schema of the tool they name, and every record is written as canonical JSON: keys sorted,
 no spaces, no escapes but the needed ones.
 
@@ -83,23 +83,34 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def levels(linked: DataFrame) -> DataFrame:
-    """(call_id, level) of the calls that can be ordered; as many rounds as the longest chain of needs has calls."""
-    calls = linked.filter("call_turn IS NOT NULL OR conv_id IS NOT NULL OR n_calls > 0").select("call_id", F.array_distinct("needs").alias("needs"))
-    now = written(calls.filter(F.size("needs") == 0).select("call_id", F.lit(0).alias("level")), "level")
-    placed = now
-    waiting = written(calls.filter(F.size("needs") > 0).select("call_id", F.explode("needs").alias("need"), F.size("needs").alias("n")), "waiting")
-    known = waiting.limit(0).select("call_id", F.lit(0).alias("met"))
-    level = 0
-    while not now.isEmpty() and not waiting.isEmpty():
-        level += 1
-        met = waiting.join(now.select(F.col("call_id").alias("need")), "need", "left_semi").groupBy("call_id").agg(F.count(F.lit(1)).cast("int").alias("met"))
-        known = written(known.unionByName(met).groupBy("call_id").agg(F.sum("met").cast("int").alias("met")), "met")
-        ready = waiting.select("call_id", "n").distinct().join(known, "call_id").filter("met = n")
-        now = written(ready.select("call_id", F.lit(level).alias("level")), "level")
-        placed = placed.unionByName(now)
-        waiting = written(waiting.join(now, "call_id", "left_anti"), "waiting")
-        known = written(known.join(now, "call_id", "left_anti"), "met")
-    return written(placed, "levels")
+    """(call_id, level) of the calls that can be ordered.
+
+    A call that needs one other hangs on it; along such chains a call's distance to the first that needs none or several
+    (its anchor) doubles its reach each round, so a conversation of n turns takes log n rounds. Calls that need several
+    are then placed level by level over anchors.
+    """
+    calls = written(linked.filter("n_calls > 0").select("call_id", F.array_distinct("needs").alias("needs")), "needs")
+    one = F.size("needs") == 1
+    # open: ``to`` isn't known to be an anchor yet; a chain that leads nowhere or round in a circle ends with none
+    hop = written(calls.select("call_id", F.when(one, F.col("needs")[0]).otherwise(F.col("call_id")).alias("to"), one.cast("long").alias("dist"), one.alias("open")), "hops")
+    rounds = hop.filter("open").count().bit_length() + 1
+    while rounds and not hop.filter("open").isEmpty():
+        ahead = hop.select(F.col("call_id").alias("_n"), F.col("to").alias("_to"), F.col("dist").alias("_dist"), F.col("open").alias("_open"))
+        moved = hop.filter("open").join(ahead, F.col("to") == F.col("_n"), "left").select("call_id", F.col("_to").alias("to"), (F.col("dist") + F.col("_dist")).alias("dist"), F.coalesce("_open", F.lit(False)).alias("open"))
+        hop = written(hop.filter("NOT open").unionByName(moved), "hops")
+        rounds -= 1
+    hop = hop.select("call_id", F.when(~F.col("open"), F.col("to")).alias("to"), "dist")
+    known = written(calls.filter(F.size("needs") == 0).select(F.col("call_id").alias("anchor"), F.lit(0).cast("long").alias("at")), "anchors")
+    several = calls.filter(F.size("needs") > 1).select(F.col("call_id").alias("m"), F.explode("needs").alias("need"))
+    several = written(several.join(hop, F.col("need") == F.col("call_id"), "left").select("m", "to", "dist"), "several")
+    while not several.isEmpty():
+        seen = several.join(known, F.col("to") == F.col("anchor"), "left").groupBy("m").agg(F.count(F.lit(1)).alias("_n"), F.count("at").alias("_k"), F.max(F.col("at") + F.col("dist")).alias("_at"))
+        ready = written(seen.filter("_n = _k").select(F.col("m").alias("anchor"), (F.col("_at") + 1).alias("at")), "ready")
+        if ready.isEmpty():
+            break
+        several = written(several.join(ready, F.col("m") == F.col("anchor"), "left_anti"), "several")
+        known = written(known.unionByName(ready), "anchors")
+    return written(hop.join(known, F.col("to") == F.col("anchor")).select("call_id", (F.col("at") + F.col("dist")).cast("int").alias("level")), "levels")
 
 
 _FORMATTED = "call_id string, conv_id long, call_turn long, result_turn long, status string, level int, valid boolean, problems array<string>, message_json string"
