@@ -57,7 +57,7 @@ ORACLE_SQL = {
     "op2_chat_format": """
         WITH c AS (SELECT conv_id, turn, text, conv_id || '-' || turn AS call_id FROM conversations WHERE role = 'user'),
              g AS (SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM c),
-             l AS (SELECT *, row_number() OVER (PARTITION BY conv_id, run ORDER BY turn) - 1 AS level FROM g),
+             l AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, run ORDER BY turn) - 1)::INTEGER AS level FROM g),
              r AS (SELECT conv_id || '-' || (turn - 1) AS call_id, turn AS result_turn, text AS result FROM conversations WHERE role = 'assistant')
         SELECT coalesce(l.call_id, r.call_id) AS call_id, conv_id, turn AS call_turn, result_turn,
                CASE WHEN l.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
