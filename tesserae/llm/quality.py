@@ -169,5 +169,7 @@ def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with all its columns: rejected rows are gone, the others' text is what the rules left of it."""
     inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     at = f"c{docs.columns.index(text_col)}"
-    out = verdict(inner, at, "q_").filter("q_kept").withColumn(at, F.col("q_cleaned_text"))
+    # a filter on q_kept itself would be pushed below and judge each text again; one on what explode returns isn't
+    judged = F.explode(F.array(F.struct("q_kept", "q_cleaned_text"))).alias("q")
+    out = verdict(inner, at, "q_").select(*inner.columns, judged).filter("q.q_kept").withColumn(at, F.col("q.q_cleaned_text"))
     return out.select(*inner.columns).toDF(*docs.columns)
