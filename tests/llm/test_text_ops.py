@@ -175,6 +175,30 @@ def test_line_dedup(spark):
     assert left.columns == df.columns and left.count() == df.count()
 
 
+def test_line_dedup_finds_all_lines_with_one_word_changed(spark):
+    r = random.Random(10)
+    lines = []
+    for n in (3, 4, 5, 5, 6, 7, 8, 9, 12, 15, 20, 24, 32, 40, 60, 80):
+        words = ["".join(r.choices("abcdefghijkl", k=r.randint(2, 7))) for _ in range(n)]
+        words[n // 2] = "bad"
+        lines += [" ".join(words), " ".join([*words[: n // 2], "god", *words[n // 2 + 1 :]])]
+    df = spark.createDataFrame(rows_of(list(enumerate(lines))), SCHEMA)
+    parent = list(range(len(lines)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(lines)), 2):
+        if min(len(lines[a]), len(lines[b])) * 5 >= max(len(lines[a]), len(lines[b])) * 4 and lev(lines[a], lines[b]) <= max(len(lines[a]), len(lines[b])) * 20 // 100:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    assert sum(find(x) != x for x in range(len(lines))) >= 15
+    got = {x.doc_id: x.keep_id for x in line_dedup.mark_lines(df).collect()}
+    assert got == {i: find(i) for i in range(len(lines))}
+
+
 def test_wide_lanes_count_like_narrow_ones(spark):
     hashes = [hash(("x", i)) for i in range(5)]
     row = spark.range(1).select(*(line_dedup._majority(F.array(*map(F.lit, hashes)), w).alias(f"m{w}") for w in (8, 16, 32))).first()
