@@ -5,6 +5,11 @@ and a template are multisets of word bigrams; their Dice coefficient is twice th
 Sizes bound it: 2 * min / (a + b) is the most it can be, so for each unit only templates whose size lies in a window around
 its own are candidates, and those that share no bigram with it are never compared.
 
+Licences also stand in no unit: in paragraphs inside a longer text, inside a line, or right above code. So each template is
+slid over the words of the whole text too: of all runs of bigrams that start and end with one of the template's, those that
+reach the threshold are 'span's. Of spans that overlap, the one with the largest 2 * shared - threshold * (a + b) stays; a
+span inside a unit that matches isn't repeated.
+
 Defined results for odd input: a null or empty text, and one with fewer than two words, has no bigram and matches nothing;
 equal coefficients go to the template that comes first by name; copies and repeated rows are scanned alike; texts may be of
 any length; an empty table gives an empty result; other columns play no part.
@@ -18,6 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +71,10 @@ class Scanner:
         self.grams = [bigrams(templates[name]) for name in self.names]
         self.known = {g for t in self.grams for g in t}
         self.words = {w for g in self.known for w in g}
+        self.places: dict[tuple[str, str], list[tuple[int, int]]] = {}
+        for i, grams in enumerate(self.grams):
+            for g, n in grams.items():
+                self.places.setdefault(g, []).append((i, n))
 
     def best(self, unit: str) -> tuple[str, float, int] | None:
         """(template, coefficient, bigrams) of the best match that reaches the threshold."""
@@ -101,8 +111,62 @@ class Scanner:
         for unit, a, b in units:
             if (found := self.best(text[a:b])) is not None:
                 out.append((unit, found[0], found[1], a, b))
+        whole = [(a, b) for _, _, score, a, b in out if score >= self.threshold]
+        out += [("span", *s) for s in self.spans(text) if not any(a <= s[2] and s[3] <= b for a, b in whole)]
         return out
 
+    def windows(self, hits: list[tuple[int, tuple[str, str]]], i: int) -> Iterator[tuple[float, float, int, int]]:
+        """(surplus, coefficient, first bigram, last bigram): the best run from each of template i's bigrams that reaches the threshold."""
+        grams, m, t = self.grams[i], self.sizes[i], self.threshold
+        hits = [(at, g) for at, g in hits if g in grams]
+        at = np.array([x for x, _ in hits])
+        # the hit that counts again once this one is left out: of the same bigram, as many further on as the template has
+        places: dict[tuple[str, str], list[int]] = {}
+        counts = np.zeros(len(hits), bool)
+        again = np.full(len(hits), len(hits))
+        for k, (_, g) in enumerate(hits):
+            seen = places.setdefault(g, [])
+            if len(seen) >= grams[g]:
+                again[seen[-grams[g]]] = k
+            else:
+                counts[k] = True
+            seen.append(k)
+        # shared[b]: bigrams shared by the run from the present start to hit b
+        shared = np.cumsum(counts)
+        last = np.searchsorted(at, at + m * (2 - t) / t + 1, "right")
+        for a, b in enumerate(last.tolist()):
+            size = at[a:b] - at[a] + 1 + m
+            surplus = 2 * shared[a:b] - t * size
+            k = int(surplus.argmax())
+            if surplus[k] >= -1e-9:
+                yield float(surplus[k]), float(2 * shared[a + k] / size[k]), int(at[a]), int(at[a + k])
+            shared[a : again[a]] -= 1
+
+    def spans(self, text: str) -> list[tuple[str, float, int, int]]:
+        """(template, coefficient, start, end) of the runs of words that match, wherever they stand; none overlap."""
+        low = text.lower()
+        words = _WORD.findall(low)
+        hits = [(k, g) for k, g in enumerate(zip(words, words[1:], strict=False)) if g in self.known]
+        total = [0] * len(self.sizes)
+        for g, n in Counter(g for _, g in hits).items():
+            for i, most in self.places[g]:
+                total[i] += min(n, most)
+        # a run that reaches t shares t / (2 - t) of the template's bigrams at least
+        least = self.threshold / (2 - self.threshold)
+        found = [(-w[0], self.names[i], *w[1:]) for i, n in enumerate(total) if n and n >= self.sizes[i] * least - 1e-9 for w in self.windows(hits, i)]
+        taken: list[tuple[str, float, int, int]] = []
+        for _, name, score, a, b in sorted(found):
+            # a bigram reaches into the next word, so runs that end and start side by side share a word
+            if all(b < x or y < a for _, _, x, y in taken):
+                taken.append((name, score, a, b))
+        if not taken:
+            return []
+        at = [m.span() for m in _WORD.finditer(low)]
+        # lower case can be longer than the text it is of
+        origin = None if len(low) == len(text) else [k for k, c in enumerate(text) for _ in c.lower()]
+        place = lambda x: x if origin is None else origin[x]
+        return sorted(((name, score, place(at[a][0]), place(at[b + 1][1] - 1) + 1) for name, score, a, b in taken), key=lambda s: s[2:])
+
 
 @lru_cache(maxsize=4)
 def _scanner(templates: tuple[tuple[str, str], ...], threshold: float) -> Scanner:

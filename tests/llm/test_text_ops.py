@@ -312,6 +312,23 @@ def test_licences(spark, docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licences_in_no_unit_are_found(spark):
+    mit, apache, gpl = (licenses.TEMPLATES[n] for n in ("MIT", "Apache-2.0 header", "GPL-3.0 header"))
+    parts = mit.replace(" The above", "\n\nThe above").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    filler = "Some words about a project that nobody knows. " * 40
+    texts = [
+        f"{filler}\n\n{parts}\n\n{filler}\n\n{parts}\n{filler}",
+        f"{filler}\n" + apache.replace(" Unless", "\n\nUnless").replace(" You may", "\n\nYou may") + f"\n{filler}",
+        "İ " + filler + gpl.replace(" This program is", "\n\nThis program is").replace(" You should", "\n\nYou should") + "\nint main() { return 0; }\n" + filler,
+        "My project is a tool for many things and it is Released under the MIT License. See the file for more of that.",
+    ]
+    got = licenses.scan(spark.createDataFrame(rows_of(enumerate(texts)), SCHEMA)).filter("unit = 'span'").collect()
+    assert Counter((r.doc_id, r.license) for r in got) == Counter([(0, "MIT"), (0, "MIT"), (1, "Apache-2.0 header"), (2, "GPL-3.0 header"), (3, "MIT notice")])
+    for r in got:
+        assert r.dice == pytest.approx(licenses.dice(licenses.bigrams(texts[r.doc_id][r.start : r.end]), licenses.bigrams(licenses.TEMPLATES[r.license])))
+        assert r.dice > 0.95
+
+
 def test_toxicity_learns_words_and_stems(spark, empty):
     r = random.Random(4)
     plain = ["".join(r.choices("aeioulmnrst", k=r.randint(3, 8))) for _ in range(400)]
