@@ -329,6 +329,19 @@ def test_licences_in_no_unit_are_found(spark):
         assert r.dice > 0.95
 
 
+def test_complete_licence_texts_are_found(spark):
+    names = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"]
+    assert all(len(licenses.TEMPLATES[n].split()) > 180 for n in names)
+    disclaimer = "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE"
+    assert disclaimer in licenses.TEMPLATES["BSD-2-Clause"] and "Neither the name" in licenses.TEMPLATES["BSD-3-Clause"]
+    filler = "Some words about a project that nobody knows. " * 100
+    rows = [(i, licenses.TEMPLATES[n]) for i, n in enumerate(names)] + [(100 + i, f"{filler}\n\n{licenses.TEMPLATES[n]}\n{filler}" * 2) for i, n in enumerate(names)]
+    got = licenses.scan(spark.createDataFrame(rows_of(rows), SCHEMA)).collect()
+    assert {r.doc_id: r.license for r in got if r.unit == "text" and r.doc_id < 100} == dict(enumerate(names))
+    for i, n in enumerate(names):
+        assert sum(r.license == n and r.unit in ("span", "block") and r.dice > 0.95 for r in got if r.doc_id == 100 + i) >= 2
+
+
 def test_toxicity_learns_words_and_stems(spark, empty):
     r = random.Random(4)
     plain = ["".join(r.choices("aeioulmnrst", k=r.randint(3, 8))) for _ in range(400)]
