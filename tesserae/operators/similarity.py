@@ -7,6 +7,8 @@ the rest, and what is left is verified on the full sets.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,16 +78,23 @@ def cliff_summary(cliffs: DataFrame) -> DataFrame:
     return cliffs.agg(F.count(F.lit(1)).alias("n_cliffs"), F.avg("sali").alias("mean_sali"), F.max("sali").alias("max_sali")).join(F.broadcast(both.agg(F.count_distinct("m").alias("n_molecules"))), how="inner")
 
 
-def knn_domain(train: DataFrame, rows: DataFrame, key: str, vector: str, k: int = 5, sigmas: float = 3.0, include_self: bool = True) -> DataFrame:
+def _mean_distances(queries: DataFrame, df: DataFrame, key: str, vector: str, k: int, include_self: bool, block: int) -> DataFrame:
+    """(query, distance): mean distance to the k nearest rows, for about ``block`` queries at a time."""
+    blocks = max(1, -(-queries.count() // block))
+    at = F.pmod(F.xxhash64(key), F.lit(blocks))
+    found = [nearest(queries.filter(at == i), df, key, vector, k, include_self=include_self).groupBy("query").agg(F.avg("distance").alias("distance")) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, (written(f, "distances") for f in found))
+
+
+def knn_domain(train: DataFrame, rows: DataFrame, key: str, vector: str, k: int = 5, sigmas: float = 3.0, include_self: bool = True, block: int = 2000) -> DataFrame:
     """Applicability domain by mean distance to the k nearest training rows.
 
     The threshold is mean plus ``sigmas`` population deviations of that distance over the training rows themselves (each
     its own neighbour at 0 unless ``include_self`` is off); reliability falls linearly to 0 there. Both sets are queries
-    against the training rows, so they are bounded sets here; larger ones go block by block.
+    against all training rows, about ``block`` of them at a time; keys are distinct.
     """
-    mean = lambda d, own: nearest(d, train, key, vector, k, include_self=own).groupBy("query").agg(F.avg("distance").alias("distance"))
-    limit = mean(train, include_self).agg((F.avg("distance") + sigmas * F.stddev_pop("distance")).alias("threshold"))
-    out = mean(rows, True).join(F.broadcast(limit), how="inner")
+    limit = _mean_distances(train, train, key, vector, k, include_self, block).agg((F.avg("distance") + sigmas * F.stddev_pop("distance")).alias("threshold"))
+    out = _mean_distances(rows, train, key, vector, k, True, block).join(F.broadcast(limit), how="inner")
     return out.select(F.col("query").alias(key), "distance", "threshold", (F.col("distance") <= F.col("threshold")).alias("in_domain"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.try_divide("distance", "threshold"))).alias("reliability"))
 
 

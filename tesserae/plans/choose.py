@@ -78,7 +78,7 @@ def bit_similarities(spark, sf):
 @register("domain_knn")
 def knn_domain(spark, sf):
     e = table(spark, sf, "embeddings")
-    return rounded(similarity.knn_domain(e.filter("vec_id % 5 = 1"), e.filter("vec_id % 5 = 0"), "vec_id", "embedding"))
+    return rounded(similarity.knn_domain(e.filter("vec_id % 5 <> 0"), e.filter("vec_id % 5 = 0"), "vec_id", "embedding"))
 
 
 @register("domain_box", """WITH b AS (SELECT i, min(embedding[i]) AS lo, max(embedding[i]) AS hi FROM embeddings, range(1, len(embedding) + 1) t(i) WHERE vec_id % 5 <> 0 GROUP BY 1), s AS (SELECT vec_id, avg((embedding[i] BETWEEN lo AND hi)::INT) AS r FROM embeddings, b WHERE vec_id % 5 = 0 GROUP BY 1)

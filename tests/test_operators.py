@@ -194,3 +194,21 @@ def test_plate_matrix(spark, tmp_path):
     (tmp_path / "p.csv").write_text("row,1,2\nA,1.5,2.5\nB,3,\n")
     got = sources.read_plate_matrix(spark, str(tmp_path / "p.csv"), 2).orderBy("well").collect()
     assert [(r.well, r.row, r.column, r.value) for r in got][:3] == [("A1", "A", 1, 1.5), ("A2", "A", 2, 2.5), ("B1", "B", 1, 3.0)]
+
+
+def test_knn_domain_uses_all_other_rows(spark, sf):
+    from tesserae import plans
+
+    given = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    train = np.array([v for i, v in given.items() if i % 5])
+    near = lambda v: np.sort(np.sqrt(((train - v) ** 2).sum(axis=1)))[:5].mean()
+    own = np.array([near(v) for v in train])
+    limit = own.mean() + 3 * own.std()
+    want = {i: near(v) for i, v in given.items() if i % 5 == 0}
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    blocks = similarity.knn_domain(e.filter("vec_id % 5 <> 0"), e.filter("vec_id % 5 = 0"), "vec_id", "embedding", block=90)
+    for df in (plans.queries()["domain_knn"](spark, sf), blocks):
+        got = {r.vec_id: r for r in df.collect()}
+        assert got.keys() == want.keys()
+        for i, r in got.items():
+            assert abs(r.distance - want[i]) < 1e-5 and abs(r.threshold - limit) < 1e-5 and r.in_domain == (want[i] <= limit)
