@@ -100,6 +100,14 @@ def matrix_to_long(spark, sf):
     return assay.matrix_to_long(wide, "r", ["1", "2", "3", "4"]).filter("value IS NOT NULL")
 
 
+@register("assay_matrix_to_long_all", f"""WITH {WELLS}, w AS (SELECT r, c, round(avg(value), 6) AS value FROM wells GROUP BY ALL)
+    SELECT r || '' || c AS well, r::VARCHAR AS "row", c::INTEGER AS "column", value FROM w""")
+def matrix_to_long_all(spark, sf):
+    days = list(range(1, 32))
+    wide = wells(spark, sf).groupBy(F.col("r").cast("string").alias("r")).pivot("c", days).agg(F.round(F.avg("value"), 6))
+    return assay.matrix_to_long(wide, "r", [str(d) for d in days]).filter("value IS NOT NULL")
+
+
 @register("assay_dose_response", """SELECT l_discount AS concentration, round(avg(l_quantity), 6) AS response, round(0 + (100 - 0) / (1 + pow(l_discount / 0.05, 1.0)), 6) AS fitted FROM lineitem WHERE l_discount > 0 GROUP BY 1""")
 def dose_response(spark, sf):
     from tesserae.functions import hill
