@@ -8,7 +8,8 @@ no spaces, no escapes but the needed ones.
 Defined results for odd input:
 - calls that repeat an identifier are one call, the one with the least (turn, arguments); ``n_calls`` counts them; the same
   holds for results, whose first by (turn, content) is linked;
-- a call without result is 'unanswered', a result without call 'orphan'; a null identifier links with nothing;
+- a call without result is 'unanswered', a result without call 'orphan'; a null identifier links with nothing and is left
+  out of ``formatted``; ``records`` returns every row of a table of turns, those that ``formatted`` leaves out too;
 - a call that needs one that isn't there, or itself through others, has no level (null) and status 'unordered';
 - arguments that are null are an empty object; arguments that aren't a JSON object, and tools without schema, are invalid;
 - an empty table gives an empty result; other columns play no part; texts may be of any length.
@@ -157,5 +158,27 @@ def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def records(conversations: DataFrame) -> DataFrame:
+    """A row for every row of a table of plain turns, whatever its role: call_id, status, n_calls, n_results and record.
+
+    User and assistant rows have the status of their call; those that repeat (conv_id, turn) with another text than the
+    one that is linked are 'repeated', those without turn 'unlinked'; rows of all other roles are 'context'. Equal rows
+    have equal records.
+    """
+    calls, results = turns_as_calls(conversations)
+    linked = link(calls, results).select(F.col("call_id").alias("_id"), "arguments", "result", F.col("status").alias("_status"), "n_calls", "n_results")
+    role, turn = F.col("role"), F.col("turn")
+    user, assistant = role.eqNullSafe("user"), role.eqNullSafe("assistant")
+    at = F.when(user, turn).when(assistant, turn - 1)
+    ident = F.when(at.isNotNull(), F.concat_ws("-", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), at.cast("string")))
+    rows = conversations.select("conv_id", "turn", "role", "text", ident.alias("call_id"))
+    rows = rows.join(linked, F.col("call_id") == F.col("_id"), "left")
+    asked = F.to_json(F.struct("text", "turn"), {"ignoreNullFields": "false"})
+    first = F.when(user, asked.eqNullSafe(F.col("arguments"))).otherwise(F.col("text").eqNullSafe(F.col("result")))
+    status = F.when(~user & ~assistant, "context").when(turn.isNull(), "unlinked").when(~first, "repeated").otherwise(F.col("_status"))
+    message = F.to_json(F.struct("conv_id", F.col("call_id").alias("id"), "role", "text", "turn"), {"ignoreNullFields": "false"})
+    return rows.select("conv_id", "turn", "role", "call_id", status.alias("status"), F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results"), message.alias("message_json"))
+
+
 #: The tool that a plain user turn calls.
 ASK = {"ask": {"required": ["text", "turn"], "properties": {"text": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}, "additionalProperties": False}}

@@ -19,6 +19,10 @@ def op2_chat_format(spark, sf_dir):
     return chat.formatted(*chat.turns_as_calls(table(spark, sf_dir, "conversations")), chat.ASK)
 
 
+def op2_chat_records(spark, sf_dir):
+    return chat.records(table(spark, sf_dir, "conversations"))
+
+
 def op3_line_dedup(spark, sf_dir):
     return line_dedup.mark_lines(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_chat_format, op3_line_dedup, op4_quality_rules, op5_pack, op6_warc, op7_exact_dedup, op8_bpe, op9_toxicity, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_chat_format, op3_line_dedup, op4_quality_rules, op5_pack, op6_warc, op7_exact_dedup, op8_bpe, op9_toxicity, op10_license_scan, op2_chat_records)}
 
 ORACLE_SQL = {
     "op2_chat_format": """

@@ -72,6 +72,17 @@ def test_calls_are_linked_ordered_and_checked(spark):
     assert chat.formatted(calls.limit(0), results.limit(0), schema).count() == 0
 
 
+def test_every_row_of_a_conversation_has_a_record(spark):
+    rows = [(1, 0, "system", "be brief"), (1, 1, "user", "hi"), (1, 1, "user", "other"), (1, 2, "assistant", "yes"), (1, 2, "assistant", "no"), (1, 3, "tool", "x"), (1, None, "user", "when"), (1, 4, None, None), (2, 5, "user", "alone"), (2, 9, "assistant", "late"), (None, 1, "user", "who"), (3, None, "system", "s")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.records(df).collect()
+    made = {tuple(json.loads(r.message_json)[k] for k in ("conv_id", "turn", "role", "text")): r for r in got}
+    assert len(got) == len(rows) and made.keys() == set(rows)
+    want = ["context", "linked", "repeated", "repeated", "linked", "context", "unlinked", "context", "unanswered", "orphan", "unanswered", "context"]
+    assert [made[r].status for r in rows] == want
+    assert (made[rows[1]].n_calls, made[rows[1]].n_results, made[rows[0]].n_calls) == (2, 2, 0)
+
+
 def test_long_chains_take_few_rounds(spark):
     calls = spark.range(300).select(F.col("id").cast("string").alias("call_id"), F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("f").alias("name"), F.lit("{}").alias("arguments"), F.when(F.col("id") > 0, F.array((F.col("id") - 1).cast("string"))).alias("needs"))
     results = calls.limit(0).select("call_id", "turn", F.lit("x").alias("content"))
