@@ -154,15 +154,27 @@ def pareto_front(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
 
 
 def within_budget(df: DataFrame, key: str, score: str, cost: str, budget: float, pool: int = 10_000) -> DataFrame:
-    """Greedy picks by falling score that still fit the budget, from the best ``pool`` candidates (a stated bound).
+    """Greedy picks by falling score that still fit the budget, folded ``pool`` candidates at a time.
 
-    What fits depends on all earlier picks, so the ordered pool is folded in one expression over one bounded array.
+    What fits depends on all earlier picks, so each ordered pool is folded in one expression over one bounded array. Then
+    the candidates behind it that can still fit form the next pool, until none is left.
     """
-    top = df.filter(F.col(cost).isNotNull() & F.col(score).isNotNull()).orderBy(F.desc(score), key).limit(pool)
-    row = top.agg(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(key).alias("k"), F.col(cost).cast("double").alias("c")))).alias("_l"))
-    start = F.struct(F.lit(0.0).alias("spent"), F.array().cast("array<bigint>").alias("ids"))
-    fold = F.aggregate("_l", start, lambda t, x: F.when(t["spent"] + x["c"] <= budget, F.struct((t["spent"] + x["c"]).alias("spent"), F.concat(t["ids"], F.array(x["k"].cast("bigint"))).alias("ids"))).otherwise(t))
-    picked = row.select(F.posexplode(fold["ids"]).alias("_i", "_k"))
+    rest = df.filter(F.col(cost).isNotNull() & F.col(score).isNotNull())
+    # what negative costs could ever give back
+    back = rest.agg(F.sum(F.least(F.col(cost).cast("double"), F.lit(0.0)))).first()[0] or 0.0
+    spent, ids = 0.0, []
+    while True:
+        top = rest.filter(F.col(cost) <= budget - spent - back + 1e-9 * abs(budget)).orderBy(F.desc(score), key).limit(pool)
+        row = top.agg(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(key).alias("k"), F.col(cost).cast("double").alias("c")))).alias("_l"))
+        start = F.struct(F.lit(spent).alias("spent"), F.array().cast("array<bigint>").alias("ids"))
+        fold = F.aggregate("_l", start, lambda t, x: F.when(t["spent"] + x["c"] <= budget, F.struct((t["spent"] + x["c"]).alias("spent"), F.concat(t["ids"], F.array(x["k"].cast("bigint"))).alias("ids"))).otherwise(t))
+        done = row.select(fold.alias("_f"), F.size("_l").alias("n"), F.try_element_at("_l", F.lit(-1)).alias("last")).first()
+        spent, ids = done["_f"]["spent"], ids + done["_f"]["ids"]
+        if done["n"] < pool:
+            break
+        s, k = -done["last"]["s"], done["last"]["k"]
+        rest = rest.filter((F.col(score) < F.lit(s)) | ((F.col(score) == F.lit(s)) & (F.col(key) > F.lit(k))))
+    picked = df.sparkSession.createDataFrame(list(enumerate(ids)), "_i int, _k bigint")
     return df.join(F.broadcast(picked), F.col(key) == F.col("_k")).withColumn("pick", (F.col("_i") + 1).cast("long")).drop("_i", "_k")
 
 

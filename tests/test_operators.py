@@ -212,3 +212,15 @@ def test_knn_domain_uses_all_other_rows(spark, sf):
         assert got.keys() == want.keys()
         for i, r in got.items():
             assert abs(r.distance - want[i]) < 1e-5 and abs(r.threshold - limit) < 1e-5 and r.in_domain == (want[i] <= limit)
+
+
+def test_budget_goes_on_behind_the_pool(spark):
+    r = random.Random(2)
+    rows = [(i, float(r.randrange(50)), float(r.randrange(1, 60))) for i in range(60)] + [(100, -1.0, 0.5), (101, -2.0, -3.0), (102, -3.0, 3.0)]
+    df = spark.createDataFrame(rows, "id long, score double, cost double")
+    want, spent = [], 0.0
+    for i, _, c in sorted(rows, key=lambda x: (-x[1], x[0])):
+        if spent + c <= 200.5:
+            want, spent = [*want, i], spent + c
+    got = [x.id for x in select.within_budget(df, "id", "score", "cost", 200.5, 5).orderBy("pick").collect()]
+    assert got == want and {101, 102} <= set(got)
