@@ -62,12 +62,15 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all its columns, less every row whose text an earlier id already has."""
     digests, words, bits = _passes(docs, id_col, text_col)
-    groups = _groups(bloom.flagged(digests, F.col("_sha"), words, bits, "_maybe").filter("_maybe"))
+    maybe = bloom.flagged(digests, F.col("_sha"), words, bits, "_maybe").filter("_maybe")
+    groups = _groups(maybe)
+    # only rows of an id that a group has are digested again and shuffle with their text
+    ids = maybe.join(groups, F.col("_sha") == F.col("_gsha"), "left_semi").select(F.xxhash64("_id").alias("_at")).distinct()
     inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     at = {n: f"c{i}" for i, n in enumerate(docs.columns)}
-    tested = bloom.flagged(inner.withColumn("_sha", digest(F.col(at[text_col]))), F.col("_sha"), words, bits, "_maybe")
-    unique = tested.filter("NOT _maybe").select(*inner.columns)
-    joined = tested.filter("_maybe").join(groups, F.col("_sha") == F.col("_gsha"), "left")
+    tested = bloom.flagged(inner, F.xxhash64(at[id_col]), bloom.of_members(ids, "_at", bits), bits, "_maybe")
+    asked = tested.filter("_maybe").withColumn("_sha", digest(F.col(at[text_col])))
+    joined = asked.join(groups, F.col("_sha") == F.col("_gsha"), "left")
     single = joined.filter(F.col("_gsha").isNull()).select(*inner.columns)
     first = joined.filter(F.col("_gsha").isNotNull() & F.col(at[id_col]).eqNullSafe(F.col("_keep"))).dropDuplicates([at[id_col], "_sha"]).select(*inner.columns)
-    return unique.unionByName(single).unionByName(first).toDF(*docs.columns)
+    return tested.filter("NOT _maybe").select(*inner.columns).unionByName(single).unionByName(first).toDF(*docs.columns)

@@ -11,7 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.runtime import written
+from tesserae.runtime import discard, written
+
+#: Rows of a bucket that one task compares with the bucket's centres.
+SLICE = 1024
+#: The most ids that are broadcast, 8 MB of them.
+NAMED = 1 << 20
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -41,14 +46,29 @@ def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
     state = _state(now)
     while state[0]:
-        now = written(_star(written(_star(now, True), "large"), False), "small")
-        after = _state(now)
-        if after == state:
+        large = written(_star(now, True), "large")
+        after = written(_star(large, False), "small")
+        discard(now)
+        discard(large)
+        now, before, state = after, state, _state(after)
+        if state == before:
             break
-        state = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
+def beside(pairs: DataFrame, table: DataFrame, key: str, value: str, made: tuple[str, str]) -> DataFrame:
+    """``pairs`` (a, b) with the ``value`` of both from ``table`` as ``made``; rows that no pair names stay where they are.
+
+    The ids that pairs name are broadcast only up to NAMED; past that the table is joined whole, which costs more shuffle
+    and gives the same rows.
+    """
+    named = written(pairs.select(F.explode(F.array("a", "b")).alias("_k")).distinct(), "named")
+    if named.count() <= NAMED:
+        table = table.join(F.broadcast(named), F.col(key) == F.col("_k"), "left_semi")
+    a, b = (table.select(F.col(key).alias(x), F.col(value).alias(m)) for x, m in zip("ab", made, strict=True))
+    return pairs.join(b, "b").join(a, "a")
+
+
 def star_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], worth: str | None = None) -> DataFrame:
     """Components of the links that hold between rows that share a bucket: (node, comp), without the least nodes.
 
@@ -56,42 +76,60 @@ def star_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
     condition on a pair's payload (``a_<column>`` and ``b_<column>``) that a link can't do without. ``verify`` takes pairs
     (a, b) and returns those that are links.
 
-    In each round a bucket has a few centres, one at first and twice as many in every later round, and each of its rows
-    is compared with those centres alone. Rows with centres that many other rows share buckets with come first: in a
-    group of near copies that is the text they were all made from. A bucket is done when its rows are of one component
-    or only one of them has not been a centre; so all links between different components of a bucket are found, and
-    within a group of copies far fewer pairs than the square of its size are made.
+    In each round a bucket has a few centres, and each of its rows is compared with them. A centre has then met all the
+    bucket and leaves it; what is left of a bucket is dropped once its rows are of one component, since a pair that hasn't
+    met has both its rows left. The first centre is the row that shares buckets with most others: in a group of near
+    copies that is close to the text they were all made from, and nearly all of the group links to it. Later centres, up
+    to four times as many in each round, are taken only from outside a bucket's largest component. So all links between
+    different components of a bucket are found, for as many pairs as rows outside the largest component times the bucket,
+    not the square of its size. A bucket's rows are dealt to several tasks, SLICE to a task, and its centres to each.
     """
     payload = [c for c in members.columns if c not in ("bucket", "rid")]
-    sizes = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1"), "buckets")
-    shared = written(members.join(sizes, "bucket"), "members")
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
+    shared = written(members.join(sizes, "bucket"), "shared")
     weight = shared.groupBy("rid").agg(F.sum("_c").alias("_w"))
-    now = written(shared.drop("_c").join(weight, "rid").withColumns({"_comp": F.col("rid"), "_used": F.lit(False)}), "members")
+    slices = F.ceil(F.col("_c") / SLICE).cast("int")
+    now = written(shared.join(weight, "rid").withColumns({"_slices": slices, "_slice": F.pmod(F.xxhash64("rid"), slices).cast("int"), "_comp": F.col("rid")}).drop("_c"), "open")
+    discard(shared)
     comps: DataFrame | None = None
     slots = 1
     while not now.isEmpty():
-        slot = F.pmod(F.xxhash64("rid"), F.lit(slots))
-        best = F.max_by(F.struct("rid", "_comp", *payload), F.struct("_w", -F.col("rid")))
-        centres = now.filter("NOT _used").groupBy("bucket", slot.alias("_slot")).agg(best.alias("_x"))
-        centres = written(centres.select(F.col("bucket").alias("_bucket"), "_x.*").select("_bucket", F.col("rid").alias("_a"), F.col("_comp").alias("_acomp"), *(F.col(c).alias(f"a_{c}") for c in payload)), "centres")
-        pairs = now.join(centres, (F.col("bucket") == F.col("_bucket")) & (F.col("_comp") != F.col("_acomp")))
+        able = now
+        if slots > 1:
+            groups = now.groupBy("bucket", "_comp").agg(F.count(F.lit(1)).alias("_n"))
+            top = groups.groupBy(F.col("bucket").alias("_bucket")).agg(F.max_by("_comp", F.struct("_n", "_comp")).alias("_top"))
+            able = now.join(top, (F.col("bucket") == F.col("_bucket")) & (F.col("_comp") != F.col("_top"))).drop("_bucket", "_top")
+        slot = F.pmod(F.xxhash64("rid", F.lit(slots)), F.lit(slots))
+        best = F.max_by(F.struct("rid", "_comp", "_slices", *payload), F.struct("_w", -F.col("rid")))
+        centres = able.groupBy("bucket", slot.alias("_slot")).agg(best.alias("_x")).select(F.col("bucket").alias("_bucket"), "_x.*")
+        centres = written(centres.select("_bucket", "_slices", F.col("rid").alias("_a"), F.col("_comp").alias("_acomp"), *(F.col(c).alias(f"a_{c}") for c in payload)), "centres")
+        dealt = centres.withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
+        pairs = now.join(dealt, (F.col("bucket") == F.col("_bucket")) & (F.col("_slice") == F.col("_at")) & (F.col("_comp") != F.col("_acomp")))
         pairs = pairs.withColumnsRenamed({c: f"b_{c}" for c in payload})
         if worth:
             pairs = pairs.filter(worth)
-        pairs = written(pairs.select(F.least("_a", "rid").alias("a"), F.greatest("_a", "rid").alias("b")).distinct(), "pairs")
-        links = written(verify(pairs), "links")
+        swap = F.col("_a") > F.col("rid")
+        met = F.when(swap, F.struct(F.col("rid").alias("a"), F.col("_a").alias("b"), F.col("_comp").alias("ca"), F.col("_acomp").alias("cb")))
+        met = met.otherwise(F.struct(F.col("_a").alias("a"), F.col("rid").alias("b"), F.col("_acomp").alias("ca"), F.col("_comp").alias("cb")))
+        pairs = written(pairs.select(met.alias("_x")).select("_x.*").distinct(), "pairs")
+        links = written(verify(pairs).select("ca", "cb").distinct(), "links")
+        left = now.join(centres.select(F.col("_bucket").alias("_b"), F.col("_a").alias("_r")), (F.col("bucket") == F.col("_b")) & (F.col("rid") == F.col("_r")), "left_anti")
         if not links.isEmpty():
-            if comps is not None:
-                links = links.select("a", "b").unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))
-            comps = components(links, "a", "b")
-        used = centres.select(F.col("_bucket").alias("bucket"), F.col("_a").alias("rid"), F.lit(True).alias("_now"))
-        after = now.join(used, ["bucket", "rid"], "left").withColumn("_used", F.col("_used") | F.col("_now").isNotNull()).drop("_now")
-        if comps is not None:
-            after = after.drop("_comp").join(comps.withColumnRenamed("node", "rid"), "rid", "left").withColumn("_comp", F.coalesce("comp", "rid")).drop("comp")
-        after = written(after, "members")
-        open_ = after.groupBy("bucket").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi"), F.count_if(~F.col("_used")).alias("_left")).filter("_lo <> _hi AND _left > 1").select("bucket")
-        now = written(after.join(open_, "bucket"), "members")
-        slots *= 2
+            # components of components: only those that a link joins move
+            moved = components(links, "ca", "cb")
+            onto = moved.select(F.col("node").alias("_from"), F.col("comp").alias("_to"))
+            left = left.join(onto, F.col("_comp") == F.col("_from"), "left").withColumn("_comp", F.coalesce("_to", "_comp")).drop("_from", "_to")
+            if comps is None:
+                comps = moved
+            else:
+                carried = comps.join(onto, F.col("comp") == F.col("_from"), "left").select("node", F.coalesce("_to", "comp").alias("comp"))
+                comps = written(carried.unionByName(moved), "components")
+        left = written(left, "left")
+        still = left.groupBy("bucket").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).filter("_lo <> _hi").select("bucket")
+        after = written(left.join(still, "bucket"), "open")
+        for done in (now, centres, pairs, links, left):
+            discard(done)
+        now, slots = after, slots * 4
     if comps is None:
         return now.select(F.col("rid").alias("node"), F.col("_comp").alias("comp"))
     return comps

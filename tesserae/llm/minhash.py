@@ -137,11 +137,9 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[
     full = written(asked.select("_id", "_text").mapInArrow(_sets, "rid long, _set array<long>").join(ids, "rid", "left_semi").dropDuplicates(["rid"]), "full")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        a = full.select(F.col("rid").alias("a"), F.col("_set").alias("_sa"))
-        b = full.select(F.col("rid").alias("b"), F.col("_set").alias("_sb"))
         both = F.size(F.array_intersect("_sa", "_sb"))
         either = F.size("_sa") + F.size("_sb") - both
-        return pairs.join(b, "b").join(a, "a").filter(100 * both >= percent * either).select("a", "b")
+        return links.beside(pairs, full, "rid", "_set", ("_sa", "_sb")).filter(100 * both >= percent * either)
 
     comps = links.star_components(shared, confirmed, worth(percent))
     moved = sets.join(comps, F.col("rid") == F.col("node"), "left").select("_gset", F.coalesce("comp", "rid").alias("_comp"))
