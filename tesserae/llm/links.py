@@ -57,16 +57,16 @@ def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
 
 
 def beside(pairs: DataFrame, table: DataFrame, key: str, value: str, made: tuple[str, str]) -> DataFrame:
-    """``pairs`` (a, b) with the ``value`` of both from ``table`` as ``made``; rows that no pair names stay where they are.
+    """``pairs`` (_a, _b) with the ``value`` of both from ``table`` as ``made``; rows that no pair names stay where they are.
 
     The ids that pairs name are broadcast only up to NAMED; past that the table is joined whole, which costs more shuffle
     and gives the same rows.
     """
-    named = written(pairs.select(F.explode(F.array("a", "b")).alias("_k")).distinct(), "named")
+    named = written(pairs.select(F.explode(F.array("_a", "_b")).alias("_k")).distinct(), "named")
     if named.count() <= NAMED:
         table = table.join(F.broadcast(named), F.col(key) == F.col("_k"), "left_semi")
-    a, b = (table.select(F.col(key).alias(x), F.col(value).alias(m)) for x, m in zip("ab", made, strict=True))
-    return pairs.join(b, "b").join(a, "a")
+    a, b = (table.select(F.col(key).alias(x), F.col(value).alias(m)) for x, m in zip(("_a", "_b"), made, strict=True))
+    return pairs.join(b, "_b").join(a, "_a")
 
 
 def star_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], worth: str | None = None) -> DataFrame:
@@ -74,13 +74,13 @@ def star_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
 
     ``members`` has ``bucket`` and ``rid`` (long, distinct pairs) and any payload columns. ``worth`` is an optional SQL
     condition on a pair's payload (``a_<column>`` and ``b_<column>``) that a link can't do without. ``verify`` takes pairs
-    (a, b) and returns those that are links.
+    (_a, _b and their components) and returns those that are links.
 
     In each round a bucket has a few centres, and each of its rows is compared with them. A centre has then met all the
     bucket and leaves it; what is left of a bucket is dropped once its rows are of one component, since a pair that hasn't
     met has both its rows left. The first centre is the row that shares buckets with most others: in a group of near
     copies that is close to the text they were all made from, and nearly all of the group links to it. Later centres, up
-    to four times as many in each round, are taken only from outside a bucket's largest component. So all links between
+    to eight times as many in each round, are taken only from outside a bucket's largest component. So all links between
     different components of a bucket are found, for as many pairs as rows outside the largest component times the bucket,
     not the square of its size. A bucket's rows are dealt to several tasks, SLICE to a task, and its centres to each.
     """
@@ -109,8 +109,8 @@ def star_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
         if worth:
             pairs = pairs.filter(worth)
         swap = F.col("_a") > F.col("rid")
-        met = F.when(swap, F.struct(F.col("rid").alias("a"), F.col("_a").alias("b"), F.col("_comp").alias("ca"), F.col("_acomp").alias("cb")))
-        met = met.otherwise(F.struct(F.col("_a").alias("a"), F.col("rid").alias("b"), F.col("_acomp").alias("ca"), F.col("_comp").alias("cb")))
+        met = F.when(swap, F.struct(F.col("rid").alias("_a"), F.col("_a").alias("_b"), F.col("_comp").alias("ca"), F.col("_acomp").alias("cb")))
+        met = met.otherwise(F.struct(F.col("_a").alias("_a"), F.col("rid").alias("_b"), F.col("_acomp").alias("ca"), F.col("_comp").alias("cb")))
         pairs = written(pairs.select(met.alias("_x")).select("_x.*").distinct(), "pairs")
         links = written(verify(pairs).select("ca", "cb").distinct(), "links")
         left = now.join(centres.select(F.col("_bucket").alias("_b"), F.col("_a").alias("_r")), (F.col("bucket") == F.col("_b")) & (F.col("rid") == F.col("_r")), "left_anti")
@@ -129,7 +129,7 @@ def star_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
         after = written(left.join(still, "bucket"), "open")
         for done in (now, centres, pairs, links, left):
             discard(done)
-        now, slots = after, slots * 4
+        now, slots = after, slots * 8
     if comps is None:
         return now.select(F.col("rid").alias("node"), F.col("_comp").alias("comp"))
     return comps
