@@ -10,15 +10,18 @@ keeps the arcs it lost itself and the state it was copied from with the moment o
 of (left, right) exists if the arc for ``left`` existed when the token was made. ``Automaton.follows`` looks that up; arcs
 that have been asked for are kept in a table.
 
-Encoding. A word has one accepted reading. It is read from left to right: of the tokens that start at a place (a byte
-trie), the longest with an arc from the present state is taken. Every prefix has one reading too, so a place from which
-the end isn't reached is never tried again, and the work grows with the length of the word.
+Encoding. A word has one accepted reading, and so has every prefix of it. Read by bytes, the automaton is made deterministic:
+a state of the table holds, for each place that a token may still be open from, the token read last there and the node of
+a byte trie, and a byte leads to the next state and to the token that ends the reading of the prefix. Transitions are
+compiled when they are first met (there are far too many to write out) and kept; after that a byte is one look-up. Going
+back from the end over the lengths of those tokens gives the reading, so the work grows with the length of the word.
 
 Texts are first cut as byte-level BPE files ask: special tokens, then the pattern of the pre-tokenizer.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from array import array
@@ -31,7 +34,7 @@ import regex
 
 #: Fixed value: the pre-tokenizer's pattern of byte-level files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces of text whose encoding a worker remembers.
+#: Pieces of text whose encoding a worker remembers, and rows of the table.
 REMEMBERED = 400_000
 #: Longer pieces, in characters, are encoded each time.
 LONGEST = 48
@@ -55,6 +58,18 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class _Row(dict):
+    """A row of the table: (next row, token that ends there) by byte. ``open``: tokens last read, and trie nodes since."""
+
+    __slots__ = ("machine", "open")
+
+    def __init__(self, machine: Automaton, open_: tuple[tuple[int, int], ...]):
+        self.machine, self.open = machine, open_
+
+    def __missing__(self, byte: int) -> tuple[_Row, int]:
+        return self.machine._step(self, byte)
+
+
 class Automaton:
     """States are tokens: the state of a token is where its arcs lead. State -1 is the start."""
 
@@ -91,6 +106,7 @@ class Automaton:
                     node = at
                 self.token[node] = t
         self.size = [len(x) for x in labels]
+        self._forget()
 
     def _has_arc(self, state: int, token: int, now: int = 1 << 60) -> bool:
         """Whether the arc is there at the moment ``now``: it, or one it was made from, wasn't lost by then."""
@@ -117,41 +133,47 @@ class Automaton:
             found = self._arcs[key] = self._has_arc(state, token)
         return found
 
+    def _step(self, row: _Row, byte: int) -> tuple[_Row, int]:
+        """Adds the transition of a row of the table for a byte: the row it leads to and the token that ends there."""
+        made, open_ = -1, []
+        for state, node in row.open:
+            on = self.next[node].get(byte)
+            if on is not None:
+                t = self.token[on]
+                if made < 0 <= t and self.follows(state, t):
+                    made = t
+                if self.next[on]:
+                    open_.append((state, on))
+        open_.append((made, 0))
+        key = tuple(open_)
+        to = self._rows.get(key)
+        if to is None:
+            to = self._rows[key] = _Row(self, key)
+        row[byte] = to, made
+        return to, made
+
     def encode(self, word: bytes) -> list[int]:
-        """The tokens of one pre-split word."""
-        n, next_, token, size, arcs = len(word), self.next, self.token, self.size, self._arcs
-        out: list[int] = []
-        back: list[tuple[int, list[int]]] = []
-        lost: set[int] = set()
-        i, state = 0, -1
-        while i < n:
-            node, ahead = 0, []
-            for b in word[i:]:
-                node = next_[node].get(b)
-                if node is None:
-                    break
-                if (t := token[node]) >= 0:
-                    ahead.append(t)
-            while True:
-                # the longest token that has an arc; a place from which the end can't be reached is left for good
-                while ahead:
-                    t = ahead.pop()
-                    if i + size[t] in lost:
-                        continue
-                    if state < 0 or ((known := arcs.get(state << 32 | t)) or (known is None and self.follows(state, t))):
-                        break
-                else:
-                    lost.add(i)
-                    i, ahead = back.pop()
-                    out.pop()
-                    state = out[-1] if out else -1
-                    continue
-                break
-            back.append((i, ahead))
+        """The tokens of one pre-split word: a transition for each byte, then back from the end over the tokens' lengths."""
+        if len(self._rows) > REMEMBERED:
+            self._forget()
+        row, ends = self._start, []
+        add = ends.append
+        for byte in word:
+            row, t = row[byte]
+            add(t)
+        out, size, i = [], self.size, len(word)
+        while i:
+            t = ends[i - 1]
             out.append(t)
-            i, state = i + size[t], t
+            i -= size[t]
+        out.reverse()
         return out
 
+    def _forget(self) -> None:
+        """The table with its start alone; rows come back as they are met."""
+        self._start = _Row(self, ((-1, 0),))
+        self._rows: dict[tuple, _Row] = {}
+
     def decode(self, ids: Iterable[int]) -> str:
         """The text that the arcs' labels spell; bytes that are no UTF-8 come out as U+FFFD."""
         return b"".join([self.labels[t] for t in ids]).decode("utf-8", "replace")
@@ -193,9 +215,13 @@ class Encoder:
         return b"".join(map(self._word, self._pieces(text)))
 
     def _run(self, chunk: str) -> bytes:
-        if len(self._known) > REMEMBERED:
+        if len(self._known) > 2 * REMEMBERED:
             self._known.clear()
-        found = self._cut(" " + chunk)
+        # letters alone are one piece with the space before them
+        if chunk.isascii() and chunk.isalpha():
+            found = array("I", self.automaton.encode(b" " + chunk.encode())).tobytes()
+        else:
+            found = self._cut(" " + chunk)
         if len(chunk) <= LONGEST:
             self._known[chunk] = found
         return found
@@ -235,7 +261,9 @@ class Encoder:
 @lru_cache(maxsize=2)
 def load(path: str) -> Encoder:
     """The encoder of a file, built once in each Python worker."""
-    return Encoder(path)
+    made = Encoder(path)
+    gc.freeze()  # the trie stays, so the collector needn't walk it again and again
+    return made
 
 
 def _digests(path: str):
