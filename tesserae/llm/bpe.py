@@ -36,6 +36,9 @@ import regex
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces of text whose encoding a worker remembers, and rows of the table.
 REMEMBERED = 400_000
+#: Marks that are a piece of their own behind a word, and the end of the Latin letters.
+MARKS = tuple(".,;:!?")
+PLAIN = "\u0250"
 #: Longer pieces, in characters, are encoded each time.
 LONGEST = 48
 
@@ -217,15 +220,27 @@ class Encoder:
     def _run(self, chunk: str) -> bytes:
         if len(self._known) > 2 * REMEMBERED:
             self._known.clear()
-        # letters alone are one piece with the space before them
-        if chunk.isascii() and chunk.isalpha():
+        if chunk.isalpha() and max(chunk) < PLAIN:
+            # letters alone are one piece with the space before them
             found = array("I", self.automaton.encode(b" " + chunk.encode())).tobytes()
+        elif chunk[-1:] in MARKS and (word := chunk[:-1]).isalpha() and max(word) < PLAIN:
+            found = (self._known.get(word) or self._run(word)) + self._word(chunk[-1])
         else:
-            found = self._cut(" " + chunk)
+            found = self._parted(chunk)
         if len(chunk) <= LONGEST:
             self._known[chunk] = found
         return found
 
+    def _parted(self, chunk: str) -> bytes:
+        """A chunk of which parts are joined by single line ends; one between other characters is a piece of its own."""
+        first, *rest = chunk.split("\n")
+        if not rest or not all(map(str.isalnum, (x[:1] for x in rest))) or first[-1:].isspace() or not first or any(x[-1:].isspace() for x in rest[:-1]):
+            return self._cut(" " + chunk)
+        out, end = [self._known.get(first) or self._run(first)], self._word("\n")
+        for x in rest:
+            out += end, (self._word(x) if x.isalpha() and max(x) < PLAIN else self._cut(x))
+        return b"".join(out)
+
     def _ordinary(self, text: str) -> bytes:
         """Ids of text without special tokens.
 
