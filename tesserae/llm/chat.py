@@ -11,7 +11,9 @@ Defined results for odd input:
 - a call without result is 'unanswered', a result without call 'orphan'; a null identifier links with nothing and is left
   out of ``formatted``; ``records`` returns every row of a table of turns, those that ``formatted`` leaves out too;
 - a call that needs one that isn't there, or itself through others, has no level (null) and status 'unordered';
-- arguments that are null are an empty object; arguments that aren't a JSON object, and tools without schema, are invalid;
+- arguments that are null or empty are an empty object; arguments that aren't a JSON object (numbers without a value, lone
+  surrogates and nesting deeper than Python reads are no JSON) stand in the record as the text they are and are invalid, as
+  are those of tools without schema; a schema that names an unknown type is a problem of the arguments it meets;
 - an empty table gives an empty result; other columns play no part; texts may be of any length.
 """
 
@@ -29,13 +31,21 @@ from tesserae.runtime import written
 _KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
+def _is(value, kind: str) -> bool:
+    """Whether a value is of a JSON type; a number without a fraction is an integer, however it is written."""
+    if isinstance(value, bool):
+        return kind == "boolean"
+    return isinstance(value, _KINDS[kind]) or (kind == "integer" and isinstance(value, float) and value.is_integer())
+
+
 def problems(value, schema: dict, at: str = "$") -> list[str]:
     """Where a value breaks a schema: type, enum, required, properties, additionalProperties, items, lengths and bounds."""
     kinds = schema.get("type")
     if kinds is not None:
         named = [kinds] if isinstance(kinds, str) else kinds
-        fits = any(isinstance(value, _KINDS[k]) and not (isinstance(value, bool) and k in ("integer", "number")) for k in named)
-        if not fits:
+        if unknown := [str(k) for k in named if k not in _KINDS]:
+            return [f"{at}: schema names no known type: {'/'.join(unknown)}"]
+        if not any(_is(value, k) for k in named):
             return [f"{at}: not of type {'/'.join(named)}"]
     found = []
     if "enum" in schema and value not in schema["enum"]:
@@ -64,9 +74,30 @@ def problems(value, schema: dict, at: str = "$") -> list[str]:
     return found
 
 
+def _plain(value):
+    """A value with keys in the order of their UTF-16 units and whole numbers written as such."""
+    if isinstance(value, dict):
+        return {k: _plain(value[k]) for k in sorted(value, key=lambda k: k.encode("utf-16-be"))}
+    if isinstance(value, list):
+        return [_plain(x) for x in value]
+    if isinstance(value, float) and value.is_integer() and abs(value) < 1 << 53:
+        return int(value)
+    return value
+
+
 def canonical(value) -> str:
-    """The one JSON text of a value."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """The one JSON text of a value; ValueError for what JSON can't say."""
+    return json.dumps(_plain(value), separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def checked(text: str | None, schema: dict | None) -> tuple[object, list[str]]:
+    """The arguments that a text holds and what is wrong with them; a text that is no JSON comes back as it is."""
+    try:
+        value = json.loads(text or "{}")
+        canonical(value).encode()
+        return value, ["$: no such tool"] if schema is None else problems(value, {"type": "object"} | schema)
+    except (ValueError, RecursionError):
+        return text, ["$: not JSON"]
 
 
 def link(calls: DataFrame, results: DataFrame) -> DataFrame:
@@ -129,11 +160,7 @@ def formatted(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) ->
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                try:
-                    arguments = json.loads(r["arguments"] or "{}")
-                    found = problems(arguments, {"type": "object"} | schemas[r["name"]]) if r["name"] in schemas else ["$: no such tool"]
-                except ValueError:
-                    arguments, found = r["arguments"], ["$: not JSON"]
+                arguments, found = checked(r["arguments"], schemas.get(r["name"]))
                 if r["status"] == "orphan":
                     found = []
                 record = {"arguments": arguments, "id": r["call_id"], "name": r["name"], "result": r["result"], "valid": not found}

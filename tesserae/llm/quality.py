@@ -32,6 +32,7 @@ MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
 
 # Fixed values of the method.
 SYMBOLS = "#*$%&|<>{}[]\\^~=_@+"
+STOPS = ".!?…;:,।॥؟۔،。．！？；：、，"
 SYMBOLS_PER_WORD = 0.3
 DOUBLED_SHARE = 0.3
 MIN_RUN = 25
@@ -118,7 +119,7 @@ def _line_verdict(line: Column) -> Column:
     phrase = reduce(or_, (low.contains(x) for x in PHRASES))
     # marks that words end in, and words that the next one repeats, counted on the line as a whole
     doubled = F.regexp_count(line, F.lit(r"[!?.]{2,}+(?=[\x20\x09-\x0D]|$)"))
-    stops = F.regexp_count(line, F.lit(r"[.!?…;:,][\"'”’)\]]*+(?=[\x20\x09-\x0D]|$)"))
+    stops = F.regexp_count(line, F.lit(f"[{STOPS}][\"'”’)\\]]*+(?=[\\x20\\x09-\\x0D]|$)"))
     stutters = F.regexp_count(line, F.lit(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)(?=[\x20\x09-\x0D]\1(?:[\x20\x09-\x0D]|$))"))
 
     def judged(words: Column) -> Column:
@@ -136,9 +137,10 @@ def _line_verdict(line: Column) -> Column:
 
 
 def judged_lines(text: Column) -> Column:
-    """The lines of a text as structs of ``line`` and ``why`` (null: it stays)."""
+    """The lines of a text as structs of ``line``, ``why`` (null: it stays) and ``blank``, a wordless line's number (else null)."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    return F.transform(lines, lambda x: F.struct(x.alias("line"), _line_verdict(x).alias("why")))
+    blank = lambda x, i: F.when(F.trim(x, F.lit(SPACES)) == "", i)
+    return F.transform(lines, lambda x, i: F.struct(x.alias("line"), _line_verdict(x).alias("why"), blank(x, i).alias("blank")))
 
 
 def verdict(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
@@ -147,7 +149,8 @@ def verdict(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFr
     judged, first = f"{prefix}_judged", f"{prefix}_first"
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = out.withColumn(judged, judged_lines(text))
-    # a line that repeats an earlier one goes too: array_distinct keeps the first of equal lines and their order
+    # a line that repeats an earlier one goes too: array_distinct keeps the first of equal lines and their order, and the
+    # numbers of wordless lines keep those apart
     left = F.when(F.col(f"{prefix}n_dup_lines") > 0, F.array_distinct(F.col(judged))).otherwise(F.col(judged))
     out = out.withColumn(first, F.transform(F.filter(left, lambda x: x["why"].isNull()), lambda x: x["line"]))
     cleaned = F.array_join(F.col(first), "\n")

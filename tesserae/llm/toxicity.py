@@ -22,10 +22,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm._words import Words, blocks, mix, stream
+from tesserae.runtime import written
 
 WINDOW, STRIDE = 32, 16
 HIDDEN = 8
@@ -370,15 +371,22 @@ def held_out(id_: Column) -> Column:
     return F.crc32(id_.cast("string").cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = 1500, clean: int = 2500) -> Model | None:
-    """The model of at most ``toxic`` and ``clean`` labelled rows that aren't held out, drawn by a hash of their id."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = 1500, clean: int = 2500, chars: int = 1 << 26) -> Model | None:
+    """The model of at most ``toxic`` and ``clean`` labelled rows that aren't held out, drawn by a hash of their id.
+
+    Of rows that repeat an id the least text counts. Whole texts are taken in the order of the draw while they come to
+    ``chars`` characters at most, so that what reaches the driver is bounded.
+    """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_y IN (0, 1) AND _id IS NOT NULL")
     known = known.filter(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_y").alias("_y"))
     drawn = F.xxhash64("_id"), F.col("_id")
     some = known.filter("_y = 1").orderBy(*drawn).limit(toxic).unionByName(known.filter("_y = 0").orderBy(*drawn).limit(clean))
     # at most toxic + clean rows, so the broadcast is bounded
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(some), "_id").toPandas()
-    rows = rows.drop_duplicates("_id").sort_values("_id")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(some), "_id")
+    rows = written(rows.groupBy("_id").agg(F.min("_text").alias("_text"), F.min("_y").alias("_y")), "labelled")
+    order = Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sized = rows.withColumn("_sum", F.sum(F.coalesce(F.length("_text"), F.lit(0))).over(order)).filter(F.col("_sum") <= chars)
+    rows = sized.select("_id", "_text", "_y").toPandas().sort_values("_id")
     return fit(rows["_text"].tolist(), rows["_y"].to_numpy())
 
 

@@ -33,6 +33,8 @@ from tesserae.runtime import scratch_path, written
 
 CHUNK = 1 << 18
 LEAST = 1000
+#: The longest HTTP head that is looked for.
+HEAD = 1 << 20
 #: Fixed values of the format.
 VERSION, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -155,12 +157,21 @@ def _id(text: str | None) -> int | None:
     return int(found[1]) if found else None
 
 
+def _claimed(told: str) -> str | None:
+    """The SHA-1 that a header claims, in hex; null for other algorithms and for what is neither base 32 nor hex."""
+    name, _, value = told.strip().partition(":")
+    if name.lower() != "sha1":
+        return None
+    if re.fullmatch("[0-9a-fA-F]{40}", value):
+        return value.lower()
+    return base64.b32decode(value.upper()).hex() if re.fullmatch("[a-zA-Z2-7]{32}", value) else None
+
+
 def chunks_of(source, with_data: bool) -> Iterator[tuple]:
     """Rows of the chunked record table for one archive."""
     stream = Stream(source)
     for fields, n, content in records(stream):
-        kind, told = fields.get("warc-type", ""), fields.get("warc-payload-digest", "")
-        claimed = base64.b32decode(told[5:]).hex() if told.startswith("sha1:") else None
+        kind, claimed = fields.get("warc-type", ""), _claimed(fields.get("warc-payload-digest", ""))
         common = (_id(fields.get("warc-record-id")), fields.get("warc-target-uri"), kind, _id(fields.get("warc-refers-to")))
         if kind == "revisit":
             yield (*common, 0, 0, 0, True, int(fields.get("x-payload-length", 0)), claimed, True, None)
@@ -171,9 +182,10 @@ def chunks_of(source, with_data: bool) -> Iterator[tuple]:
             if http:  # the payload starts after the HTTP head
                 held += piece
                 at = held.find(END)
-                if at < 0:
+                if at < 0 and len(held) < HEAD:
                     continue
-                piece, held, http = held[at + 4 :], b"", False
+                # a head that doesn't end is none
+                piece, held, http = held[at + 4 :] if at >= 0 else held, b"", False
             if pending is not None and (pending or piece):
                 digest.update(pending)
                 yield (*common, number, start, len(pending), False, start + len(pending), digest.hexdigest(), None, pending if with_data else None)

@@ -108,3 +108,43 @@ def test_pipeline_is_its_stages_one_by_one(spark, sf):
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == left
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").isEmpty()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality rules", "exact dedup", "MinHash near-dedup", "best-fit packing"]
+
+
+@pytest.mark.parametrize("text", ['{"x": NaN}', '{"x": "\\ud800"}', '{"x": 1e999}', '{"x": ' + "[" * 100_000 + "]" * 100_000 + "}"])
+def test_arguments_that_are_no_json_stay_text(text):
+    value, found = chat.checked(text, {})
+    assert value == text and found == ["$: not JSON"]
+
+
+def test_arguments_are_judged_and_written_one_way():
+    assert chat.checked(None, {}) == ({}, []) and chat.checked("", {}) == ({}, [])
+    assert chat.checked('{"x": 1.0}', {"properties": {"x": {"type": "integer"}}})[1] == []
+    assert chat.checked('{"x": 1.5}', {"properties": {"x": {"type": "integer"}}})[1] == ["$.x: not of type integer"]
+    assert chat.checked('{"x": 1}', {"properties": {"x": {"type": "decimal"}}})[1] == ["$.x: schema names no known type: decimal"]
+    assert chat.canonical({"b": 1.0, "a": [{"\U0001f600": 2.5, "￼": True}]}) == '{"a":[{"\U0001f600":2.5,"￼":true}],"b":1}'
+
+
+def test_odd_digests_and_heads_of_foreign_archives():
+    body = b"<p>hi</p>"
+    sha = hashlib.sha1(body).hexdigest()
+
+    def record(digest, content):
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:7>\r\nWARC-Payload-Digest: {digest}\r\nContent-Length: {len(content)}\r\n\r\n"
+        return head.encode() + content + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\n\r\n" + body
+    for digest, sound in ((f"sha1:{sha}", True), (f"sha1:{'0' * 40}", False), ("sha1:odd!", True), ("md5:xyz", True), ("", True)):
+        row = list(warc.chunks_of(io.BytesIO(record(digest, http)), True))[-1]
+        assert row[9] == sha and row[10] is sound
+    endless = b"HTTP/1.1 200 OK\r\nX: " + b"y" * (warc.HEAD + 5)
+    assert sum(c[6] for c in warc.chunks_of(io.BytesIO(record("", endless)), False)) == len(endless)
+
+
+def test_clean_keeps_blank_lines_and_knows_other_stops(spark):
+    line = "The cat sat on the mat, and the dog lay by the door. It was a long day. Nobody came to the house at all."
+    long = " ".join(["शब्द"] * 12 + [f"क{i}" for i in range(18)]) + "।"
+    df = spark.createDataFrame([(1, f"{line}\n\n\nMore of it.\nMore of it.\n\nThat is all.\n"), (2, line + "\n" + long)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in quality.clean(df).collect()}
+    assert got[1] == f"{line}\n\n\nMore of it.\n\nThat is all.\n"
+    why = {r.line: r.why for r in df.filter("doc_id = 2").select(F.explode(quality.judged_lines(F.col("text"))).alias("x")).select("x.*").collect()}
+    assert why[long] != "punctuation"
