@@ -34,8 +34,8 @@ import regex
 
 #: Fixed value: the pre-tokenizer's pattern of byte-level files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces of text whose encoding a worker remembers, and rows of the table.
-REMEMBERED = 400_000
+#: Pieces of text whose encoding a worker remembers, and rows of the table: some 200 MB in all.
+REMEMBERED, ROWS = 250_000, 150_000
 #: Marks that are a piece of their own behind a word, and the end of the Latin letters.
 MARKS = tuple(".,;:!?")
 PLAIN = "\u0250"
@@ -131,7 +131,7 @@ class Automaton:
         key = state << 32 | token
         found = self._arcs.get(key)
         if found is None:
-            if len(self._arcs) > 4 * REMEMBERED:
+            if len(self._arcs) > 2 * REMEMBERED:
                 self._arcs.clear()
             found = self._arcs[key] = self._has_arc(state, token)
         return found
@@ -157,7 +157,7 @@ class Automaton:
 
     def encode(self, word: bytes) -> list[int]:
         """The tokens of one pre-split word: a transition for each byte, then back from the end over the tokens' lengths."""
-        if len(self._rows) > REMEMBERED:
+        if len(self._rows) > ROWS:
             self._forget()
         row, ends = self._start, []
         add = ends.append
@@ -218,7 +218,7 @@ class Encoder:
         return b"".join(map(self._word, self._pieces(text)))
 
     def _run(self, chunk: str) -> bytes:
-        if len(self._known) > 2 * REMEMBERED:
+        if len(self._known) > REMEMBERED:
             self._known.clear()
         if chunk.isalpha() and max(chunk) < PLAIN:
             # letters alone are one piece with the space before them

@@ -423,5 +423,6 @@ def drop_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") ->
             for a, b in blocks(batch.column(at), 1 << 19):
                 part = batch.slice(a, b - a)
                 yield part.filter(pa.array(model.score(pc.fill_null(part.column(at), "")) < 0.5))
+        pa.default_memory_pool().release_unused()
 
     return inner.mapInArrow(run, schema).toDF(*docs.columns)
