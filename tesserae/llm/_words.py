@@ -15,7 +15,7 @@ _IS_SPACE[list(SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes of text handled at once, unless one text is longer.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

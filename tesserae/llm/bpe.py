@@ -34,8 +34,8 @@ import regex
 
 #: Fixed value: the pre-tokenizer's pattern of byte-level files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces of text whose encoding a worker remembers, and rows of the table: some 200 MB in all.
-REMEMBERED, ROWS = 250_000, 150_000
+#: Pieces of text whose encoding a worker remembers, and rows of the table: some 150 MB in all.
+REMEMBERED, ROWS = 150_000, 120_000
 #: Marks that are a piece of their own behind a word, and the end of the Latin letters.
 MARKS = tuple(".,;:!?")
 PLAIN = "\u0250"
@@ -62,11 +62,14 @@ def byte_symbols() -> dict[str, int]:
 
 
 class _Row(dict):
-    """A row of the table: (next row, token that ends there) by byte. ``open``: tokens last read, and trie nodes since."""
+    """A row of the table: (next row, token that ends there) by byte.
+
+    ``open``: the token last read (one more, so that the start is 0) and, in the lower 32 bits, the trie node since.
+    """
 
     __slots__ = ("machine", "open")
 
-    def __init__(self, machine: Automaton, open_: tuple[tuple[int, int], ...]):
+    def __init__(self, machine: Automaton, open_: tuple[int, ...]):
         self.machine, self.open = machine, open_
 
     def __missing__(self, byte: int) -> tuple[_Row, int]:
@@ -139,15 +142,15 @@ class Automaton:
     def _step(self, row: _Row, byte: int) -> tuple[_Row, int]:
         """Adds the transition of a row of the table for a byte: the row it leads to and the token that ends there."""
         made, open_ = -1, []
-        for state, node in row.open:
-            on = self.next[node].get(byte)
+        for place in row.open:
+            on = self.next[place & 0xFFFFFFFF].get(byte)
             if on is not None:
                 t = self.token[on]
-                if made < 0 <= t and self.follows(state, t):
+                if made < 0 <= t and self.follows((place >> 32) - 1, t):
                     made = t
                 if self.next[on]:
-                    open_.append((state, on))
-        open_.append((made, 0))
+                    open_.append(place >> 32 << 32 | on)
+        open_.append(made + 1 << 32)
         key = tuple(open_)
         to = self._rows.get(key)
         if to is None:
@@ -174,7 +177,7 @@ class Automaton:
 
     def _forget(self) -> None:
         """The table with its start alone; rows come back as they are met."""
-        self._start = _Row(self, ((-1, 0),))
+        self._start = _Row(self, (0,))
         self._rows: dict[tuple, _Row] = {}
 
     def decode(self, ids: Iterable[int]) -> str:
