@@ -35,7 +35,7 @@ import regex
 #: Fixed value: the pre-tokenizer's pattern of byte-level files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces of text whose encoding a worker remembers, and rows of the table: some 150 MB in all.
-REMEMBERED, ROWS = 150_000, 120_000
+REMEMBERED, ROWS = 200_000, 150_000
 #: Marks that are a piece of their own behind a word, and the end of the Latin letters.
 MARKS = tuple(".,;:!?")
 PLAIN = "\u0250"
@@ -112,7 +112,9 @@ class Automaton:
                     node = at
                 self.token[node] = t
         self.size = [len(x) for x in labels]
-        self._forget()
+        #: The table: its start, and rows by what is open in them.
+        self._start = _Row(self, (0,))
+        self._rows: dict[tuple[int, ...], _Row] = {}
 
     def _has_arc(self, state: int, token: int, now: int = 1 << 60) -> bool:
         """Whether the arc is there at the moment ``now``: it, or one it was made from, wasn't lost by then."""
@@ -154,14 +156,15 @@ class Automaton:
         key = tuple(open_)
         to = self._rows.get(key)
         if to is None:
-            to = self._rows[key] = _Row(self, key)
+            to = _Row(self, key)
+            if len(self._rows) >= ROWS:
+                return to, made  # the table is full of what came first, and so of what comes most; this row isn't kept
+            self._rows[key] = to
         row[byte] = to, made
         return to, made
 
     def encode(self, word: bytes) -> list[int]:
         """The tokens of one pre-split word: a transition for each byte, then back from the end over the tokens' lengths."""
-        if len(self._rows) > ROWS:
-            self._forget()
         row, ends = self._start, []
         add = ends.append
         for byte in word:
@@ -175,11 +178,6 @@ class Automaton:
         out.reverse()
         return out
 
-    def _forget(self) -> None:
-        """The table with its start alone; rows come back as they are met."""
-        self._start = _Row(self, (0,))
-        self._rows: dict[tuple, _Row] = {}
-
     def decode(self, ids: Iterable[int]) -> str:
         """The text that the arcs' labels spell; bytes that are no UTF-8 come out as U+FFFD."""
         return b"".join([self.labels[t] for t in ids]).decode("utf-8", "replace")
