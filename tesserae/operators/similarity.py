@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import DISTANCES, sali, tanimoto_bits
@@ -45,22 +45,27 @@ def _joined(left: DataFrame, right: DataFrame, key: str, bits: str, t: float, wi
     return scored.distinct()
 
 
-def nearest(queries: DataFrame, df: DataFrame, key: str, vector: str, k: int, metric: str = "euclidean", include_self: bool = False) -> DataFrame:
+def nearest(queries: DataFrame, df: DataFrame, key: str, vector: str, k: int, metric: str = "euclidean", include_self: bool = False, block: int = 2000) -> DataFrame:
     """The k nearest rows of each query: (query, neighbour, distance, rank), ties to the least key.
 
-    ``queries`` is a bounded set of rows that are compared with all of ``df`` where those lie: they go to every task, each
-    task keeps its best k per query, and only those are merged.
+    Queries go to every task of ``df``, about ``block`` of them at a time, so that what is broadcast is bounded; a task
+    passes on its k best for each query and only those are shuffled.
     """
     distance = DISTANCES[metric]
     q = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
     d = df.select(F.col(key).alias("neighbour"), F.col(vector).alias("_v"))
-    pairs = d.join(F.broadcast(q), F.lit(True) if include_self else F.col("query") != F.col("neighbour"))
-    scored = pairs.select("query", F.struct(distance(F.col("_q"), F.col("_v")).alias("distance"), "neighbour").alias("_x"), F.spark_partition_id().alias("_task"))
-    # partial lists of k per task, then k of those
-    best = scored.groupBy("query", "_task").agg(F.expr(f"slice(array_sort(collect_list(_x)), 1, {k})").alias("_l"))
-    merged = best.groupBy("query").agg(F.expr(f"slice(array_sort(flatten(collect_list(_l))), 1, {k})").alias("_l"))
-    out = merged.select("query", F.posexplode("_l").alias("rank", "_x"))
-    return out.select("query", "_x.neighbour", "_x.distance", (F.col("rank") + 1).cast("long").alias("rank"))
+    order = Window.partitionBy("query").orderBy("distance", "neighbour")
+
+    def found(some: DataFrame) -> DataFrame:
+        pairs = d.join(F.broadcast(some), F.lit(True) if include_self else F.col("query") != F.col("neighbour"))
+        scored = pairs.select("query", "neighbour", distance(F.col("_q"), F.col("_v")).alias("distance"))
+        return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
+
+    blocks = -(-queries.count() // block)
+    if blocks <= 1:
+        return found(q)
+    at = F.pmod(F.xxhash64("query"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, (written(found(q.filter(at == i)), "nearest") for i in range(blocks)))
 
 
 def activity_cliffs(df: DataFrame, key: str, bits: str, activity: str, similarity: float = 0.7, change: float = 1.0) -> DataFrame:
@@ -78,14 +83,6 @@ def cliff_summary(cliffs: DataFrame) -> DataFrame:
     return cliffs.agg(F.count(F.lit(1)).alias("n_cliffs"), F.avg("sali").alias("mean_sali"), F.max("sali").alias("max_sali")).join(F.broadcast(both.agg(F.count_distinct("m").alias("n_molecules"))), how="inner")
 
 
-def _mean_distances(queries: DataFrame, df: DataFrame, key: str, vector: str, k: int, include_self: bool, block: int) -> DataFrame:
-    """(query, distance): mean distance to the k nearest rows, for about ``block`` queries at a time."""
-    blocks = max(1, -(-queries.count() // block))
-    at = F.pmod(F.xxhash64(key), F.lit(blocks))
-    found = [nearest(queries.filter(at == i), df, key, vector, k, include_self=include_self).groupBy("query").agg(F.avg("distance").alias("distance")) for i in range(blocks)]
-    return reduce(DataFrame.unionByName, (written(f, "distances") for f in found))
-
-
 def knn_domain(train: DataFrame, rows: DataFrame, key: str, vector: str, k: int = 5, sigmas: float = 3.0, include_self: bool = True, block: int = 2000) -> DataFrame:
     """Applicability domain by mean distance to the k nearest training rows.
 
@@ -93,8 +90,9 @@ def knn_domain(train: DataFrame, rows: DataFrame, key: str, vector: str, k: int
     its own neighbour at 0 unless ``include_self`` is off); reliability falls linearly to 0 there. Both sets are queries
     against all training rows, about ``block`` of them at a time; keys are distinct.
     """
-    limit = _mean_distances(train, train, key, vector, k, include_self, block).agg((F.avg("distance") + sigmas * F.stddev_pop("distance")).alias("threshold"))
-    out = _mean_distances(rows, train, key, vector, k, True, block).join(F.broadcast(limit), how="inner")
+    mean = lambda q, own: nearest(q, train, key, vector, k, include_self=own, block=block).groupBy("query").agg(F.avg("distance").alias("distance"))
+    limit = mean(train, include_self).agg((F.avg("distance") + sigmas * F.stddev_pop("distance")).alias("threshold"))
+    out = mean(rows, True).join(F.broadcast(limit), how="inner")
     return out.select(F.col("query").alias(key), "distance", "threshold", (F.col("distance") <= F.col("threshold")).alias("in_domain"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.try_divide("distance", "threshold"))).alias("reliability"))
 
 

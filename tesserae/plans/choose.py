@@ -169,7 +169,7 @@ def stratified(spark, sf):
 
 
 _T = "t AS (SELECT p_partkey AS id, p_brand AS core, p_type AS part, p_retailprice AS v FROM part)"
-_MMP = "e AS (SELECT core, part, avg(v) AS v, min(id) AS k FROM t GROUP BY ALL), m AS (SELECT a.core, a.k AS a, b.k AS b, a.part || '>>' || b.part AS transform, b.v - a.v AS change FROM e a JOIN e b ON a.core = b.core AND a.part < b.part)"
+_MMP = "m AS (SELECT a.core, a.id AS a, b.id AS b, a.part || '>>' || b.part AS transform, b.v - a.v AS change FROM t a JOIN t b ON a.core = b.core AND a.part < b.part)"
 
 
 def _fragments(spark, sf):
@@ -186,6 +186,23 @@ def transformations(spark, sf):
     return rounded(pairs.transformations(pairs.matched_pairs(_fragments(spark, sf), "id", "core", "part", "v")).drop("p_value", "significant"), 4)
 
 
+@register("matched_pair_classes", f"""WITH {_T}, {_MMP} SELECT transform, count(change) AS n_pairs, round(avg(change), 4) AS mean_change, round(stddev_samp(change), 4) AS std_change, round(min(change), 4) AS min_change, round(max(change), 4) AS max_change, round(avg(change) / nullif(stddev_samp(change), 0), 4) AS effect_size
+    FROM m GROUP BY 1 HAVING count(*) >= 3""")
+def pair_classes(spark, sf):
+    return rounded(pairs.paired_statistics(_fragments(spark, sf), "core", "part", "v"), 4)
+
+
+@register("matched_pair_top", f"WITH {_T}, {_MMP}, s AS (SELECT transform, count(change) AS n_pairs, avg(change) AS mean_change FROM m GROUP BY 1 HAVING count(*) >= 3) SELECT transform, n_pairs, round(mean_change, 4) AS mean_change FROM s ORDER BY s.mean_change DESC, transform LIMIT 10")
+def top_pairs(spark, sf):
+    stats = pairs.paired_statistics(_fragments(spark, sf), "core", "part", "v")
+    return rounded(pairs.top_transformations(stats).select("transform", "n_pairs", "mean_change"), 4)
+
+
+@register("matched_pair_cliffs", f"WITH {_T}, {_MMP} SELECT core, a, b, transform, round(change, 4) AS change FROM m WHERE abs(change) >= 500")
+def cliff_pairs(spark, sf):
+    return rounded(pairs.pair_cliffs(pairs.matched_pairs(_fragments(spark, sf), "id", "core", "part", "v"), 500), 4)
+
+
 @register("matched_pair_tests")
 def pair_tests(spark, sf):
     return rounded(pairs.transformations(pairs.matched_pairs(_fragments(spark, sf), "id", "core", "part", "v")).select("transform", "n_pairs", "p_value", "significant", pairs.transform_type(F.col("transform")).alias("kind")))
