@@ -75,7 +75,8 @@ def bit_similarities(spark, sf):
     return rounded(e.join(F.broadcast(one), how="inner").select("vec_id", *(f(F.col("bits"), F.col("_x")).alias(n) for n, f in BIT_SIMILARITIES.items())))
 
 
-@register("domain_knn")
+@register("domain_knn", """WITH p AS (SELECT a.vec_id AS q, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS r FROM embeddings a JOIN embeddings b ON b.vec_id % 5 <> 0), m AS (SELECT q, avg(d) AS d FROM p WHERE r <= 5 GROUP BY 1),
+    t AS (SELECT avg(d) + 3 * stddev_pop(d) AS t FROM m WHERE q % 5 <> 0) SELECT q AS vec_id, round(d, 6) AS distance, round(t, 6) AS threshold, d <= t AS in_domain, round(greatest(0, least(1, 1 - d / t)), 6) AS reliability FROM m, t WHERE q % 5 = 0""")
 def knn_domain(spark, sf):
     e = table(spark, sf, "embeddings")
     return rounded(similarity.knn_domain(e.filter("vec_id % 5 <> 0"), e.filter("vec_id % 5 = 0"), "vec_id", "embedding"))
@@ -163,7 +164,8 @@ def latin(spark, sf):
     return select.latin_hypercube(_candidates(spark, sf), "id", ["mean", "size"], 20)
 
 
-@register("design_stratified")
+@register("design_stratified", f"""WITH {_C}, q AS (SELECT quantile_cont(mean, [0.2, 0.4, 0.6, 0.8]) AS q FROM c), s AS (SELECT id, len(list_filter(q, lambda x: x < mean)) AS stratum, ('0x' || substr(md5('0:' || id), 1, 12))::BIGINT AS u FROM c, q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY u, id) AS r FROM s) SELECT id, stratum FROM r WHERE r <= 4 + (stratum < 3)::INT""")
 def stratified(spark, sf):
     return select.stratified_pick(_candidates(spark, sf), "id", "mean", 23).select("id", "stratum")
 

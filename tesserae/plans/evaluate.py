@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tesserae.functions import normal_cdf_sql
 from tesserae.operators import calibration, metrics, prospective, significance
 from tesserae.plans import register
 from tesserae.plans._common import rounded
@@ -126,12 +127,15 @@ def paired_t(spark, sf):
     return rounded(significance.paired_t(_predictions(spark, sf), "y", "p"))
 
 
-@register("significance_wilcoxon")
+@register("significance_wilcoxon", f"""WITH {_P}, d AS (SELECT y - p AS d, abs(y - p) AS a FROM t WHERE y - p <> 0), r AS (SELECT d, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE AS r FROM d),
+    w AS (SELECT count(*) AS n, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS w FROM r), z AS (SELECT n, w, (w - n::DOUBLE * (n + 1) / 4) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24) AS z FROM w)
+    SELECT n, round(w, 6) AS statistic, round(z, 6) AS z, round(least(1.0, 2 * {normal_cdf_sql('-abs(z)')}), 6) AS p_value FROM z""")
 def wilcoxon(spark, sf):
     return rounded(significance.wilcoxon(_predictions(spark, sf), "y", "p"))
 
 
-@register("significance_mcnemar")
+@register("significance_mcnemar", f"""WITH {_S}, c AS (SELECT count(*) FILTER (p = y AND y <> 1) AS n10, count(*) FILTER (p <> y AND y = 1) AS n01 FROM t), z AS (SELECT *, coalesce((abs(n01 - n10) - 1) * (abs(n01 - n10) - 1)::DOUBLE / nullif(n01 + n10, 0), 0) AS x FROM c)
+    SELECT n10, n01, round(x, 6) AS statistic, round(CASE WHEN n10 + n01 = 0 THEN 1.0 ELSE 2 * {normal_cdf_sql('-sqrt(x)')} END, 6) AS p_value FROM z""")
 def mcnemar(spark, sf):
     return rounded(significance.mcnemar(_scored(spark, sf).withColumn("q", F.lit(1)), "y", "p", "q"))
 
@@ -154,7 +158,9 @@ def corrections(spark, sf):
     return rounded(significance.corrected(t, "k", "p"), 9)
 
 
-@register("prospective_rolling")
+@register("prospective_rolling", """WITH e AS (SELECT date_diff('day', min(ts) OVER ()::DATE, ts::DATE) AS d, value::DOUBLE AS y, json_extract_string(props, '$.k')::DOUBLE AS x, ts FROM events), s AS (SELECT unnest(range(0, (SELECT max(floor((d - 10) / 5.0)) FROM e)::BIGINT + 1)) AS step), r AS (SELECT d, y, x FROM e WHERE y IS NOT NULL AND x IS NOT NULL),
+    f AS (SELECT step, count(*) AS n_train, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM s JOIN r ON d >= 5 * step AND d < 10 + 5 * step GROUP BY 1), t AS (SELECT step, n_train, y, b + a * x AS p FROM f JOIN r ON d >= 10 + 5 * step AND d < 15 + 5 * step)
+    SELECT step, n_train, count(*) AS n_test, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(1 - sum((y - p) * (y - p)) / nullif(var_pop(y) * count(*), 0), 6) AS r2 FROM t GROUP BY 1, 2""")
 def rolling(spark, sf):
     return rounded(prospective.rolling(table(spark, sf, "events").withColumn("x", F.get_json_object("props", "$.k").cast("double")), "ts", "value", "x", 10, 5))
 
