@@ -28,7 +28,8 @@ def kmeans(df: DataFrame, key: str, vector: str, k: int, rounds: int = 10, seed:
     first = rows.orderBy(draw(F.col(key), seed), key).limit(k).select(vector).collect()
     centres = np.array([list(r[0]) for r in first], np.float64)
     for _ in range(rounds if len(centres) else 0):
-        near = rows.select(F.posexplode(vector).alias("i", "x"), _assigned(F.col(vector), centres, "euclidean")["cluster"].alias("cluster"))
+        # assigned below the explode, once a row
+        near = rows.withColumn("cluster", _assigned(F.col(vector), centres, "euclidean")["cluster"]).select("cluster", F.posexplode(vector).alias("i", "x"))
         found = near.groupBy("cluster", "i").agg(F.avg(F.col("x").cast("double")).alias("m")).collect()
         moved = centres.copy()
         for r in found:

@@ -200,9 +200,9 @@ def top_pairs(spark, sf):
     return rounded(pairs.top_transformations(stats).select("transform", "n_pairs", "mean_change"), 4)
 
 
-@register("matched_pair_cliffs", f"WITH {_T}, {_MMP} SELECT core, a, b, transform, round(change, 4) AS change FROM m WHERE abs(change) >= 500")
+@register("matched_pair_cliffs", f"WITH {_T}, {_MMP} SELECT core, a, b, transform, round(change, 4) AS change FROM m WHERE abs(change) >= 90")
 def cliff_pairs(spark, sf):
-    return rounded(pairs.pair_cliffs(pairs.matched_pairs(_fragments(spark, sf), "id", "core", "part", "v"), 500), 4)
+    return rounded(pairs.pair_cliffs(pairs.matched_pairs(_fragments(spark, sf), "id", "core", "part", "v"), 90), 4)
 
 
 @register("matched_pair_tests")
