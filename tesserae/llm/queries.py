@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tesserae.llm import alignment, bpe, chat, exact_dedup, fim, licenses, line_dedup, minhash, packing, quality, toxicity, warc
+from tesserae.llm import alignment, bpe, chat, exact_dedup, fim, licenses, line_dedup, minhash, packing, quality, sharding, toxicity, warc
 from tesserae.runtime import table
 
 
@@ -63,7 +63,11 @@ def op12_token_alignment(spark, sf_dir):
     return alignment.scored(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_chat_format, op3_line_dedup, op4_quality_rules, op5_pack, op6_warc, op7_exact_dedup, op8_bpe, op9_toxicity, op10_license_scan, op11_fill_in_middle, op12_token_alignment, op2_chat_records)}
+def op13_kd_shards(spark, sf_dir):
+    return sharding.assigned(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_chat_format, op3_line_dedup, op4_quality_rules, op5_pack, op6_warc, op7_exact_dedup, op8_bpe, op9_toxicity, op10_license_scan, op11_fill_in_middle, op12_token_alignment, op13_kd_shards, op2_chat_records)}
 
 ORACLE_SQL = {
     "op2_chat_format": """

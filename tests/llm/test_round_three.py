@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -11,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tesserae.llm import alignment, fim
+from tesserae.llm import alignment, fim, sharding
 
 SCHEMA = "doc_id long, text string, n long, _id string, pairs long, output string, shard int, bytes string"
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -180,3 +181,59 @@ def test_alignment_in_full_and_on_an_empty_table(docs, empty):
                 parts[g][side] += of(i)
         assert all(x == y for x, y in parts.values())
         assert len(set(zip(r.link_a, r.link_b, strict=True))) == len(r.link_a)
+
+
+def shard_rows(df):
+    return [tuple(r[c] for c in ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")) for r in df.collect()]
+
+
+def check_shards(given, found, shards, most_apart):
+    """The contract: whole rows, right sizes and checksums, gapless slots, near-equal bytes."""
+    sha = lambda t: ((t or "").encode(), len((t or "").encode()) + 16)
+    want = Counter((i, sha(t)[1], zlib.crc32(sha(t)[0])) for i, t in given)
+    assert Counter(r[:3] for r in found) == want
+    slots, total = defaultdict(list), Counter()
+    for r in found:
+        assert r[3] == "bytes" and 0 <= r[4] < shards and r[6] is None
+        slots[r[4]].append(r[5])
+        total[r[4]] += r[1]
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(total[i] for i in range(shards)) - min(total[i] for i in range(shards)) <= most_apart
+
+
+def test_shards_of_equal_rows_and_distinct_rows(spark, sf):
+    r = random.Random(3)
+    rows = [(i, "w" * r.randint(0, 300), r.choice(["de", "en", None]), r.choice("abc"), float(r.randint(0, 9))) for i in range(3000)]
+    rows += [(7, "same text", "en", "a", 9.0)] * 1500 + [(10_000 + i, "copy", "en", "a", 9.0) for i in range(1500)]
+    rows += [(None, None, None, None, None)] * 40 + [(9, "x" * 60, "en", "b", float("nan"))] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars double").repartition(7)
+    found = shard_rows(sharding.assigned(docs, 40))
+    check_shards([(x[0], x[1]) for x in rows], found, 40, 6 * 316)
+    by_shard = defaultdict(set)
+    for x in found:
+        by_shard[x[2]].add(x[4])
+    assert len(by_shard[zlib.crc32(b"same text")]) > 1  # a third of the rows is cut like others
+    one = shard_rows(sharding.assigned(docs, 1))
+    check_shards([(x[0], x[1]) for x in rows], one, 1, 0)
+
+
+def test_shards_are_neighbours_in_the_metadata(spark):
+    """With one dimension shards are ranges of it."""
+    rows = [(i, "t" * 84, "en", "a", (i * 7919) % 4000) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = sharding.assigned(docs, 10, ("n_chars",)).join(docs.select("doc_id", "n_chars"), "doc_id").groupBy("shard").agg(F.min("n_chars").alias("a"), F.max("n_chars").alias("b"), F.count("*").alias("n")).orderBy("shard").collect()
+    assert [r["n"] for r in found] == [400] * 10
+    assert [(r["a"], r["b"]) for r in found] == [(400 * k, 400 * k + 399) for k in range(10)]
+
+
+def test_shards_clashing_names_and_empty(docs, empty):
+    given = [(r.doc_id, r.text) for r in docs.collect()]
+    check_shards(given, shard_rows(sharding.assigned(docs, 4, ("n", "_id", "bytes"))), 4, 600_000)
+    assert sharding.assigned(empty, 40, ("n", "_id")).count() == 0
+
+
+def test_shards_are_written(docs, spark, tmp_path):
+    made = sharding.sharded(docs, f"{tmp_path}/out", 40_000, ("n", "shard"))
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert "shard_" in back.columns and back.select("shard_").distinct().count() <= made
+    assert Counter(map(tuple, back.select(*docs.columns).collect())) == Counter(map(tuple, docs.collect()))
