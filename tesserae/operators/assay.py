@@ -1,7 +1,8 @@
 """Assay statistics over long plates: normalisation, quality, outliers, replicates, hit calling.
 
 Group statistics come from one aggregate that is joined back by its (small) key, so a plate that holds a large share of
-the wells is pre-aggregated where it lies and never gathered by a window.
+the wells is pre-aggregated where it lies and never gathered by a window. Medians and quartiles are exact and found by counting
+(``operators.quantiles``), for plates of any size.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions import ratio
+from tesserae.operators.quantiles import joined_quantiles, quantiles, with_quantiles
 
 
 def _with_stats(df: DataFrame, by: list[str], **stats: Column) -> DataFrame:
@@ -36,9 +38,9 @@ def z_score(df: DataFrame, value: str, by: list[str], out: str = "z_score") -> D
 
 def with_mad(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """``df`` with _med and _mad: the median and the median absolute deviation of its group."""
-    df = _with_stats(df, by, _med=F.median(value))
+    df = with_quantiles(df, value, by, _med=0.5)
     df = df.withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
-    return _with_stats(df, by, _mad=F.median("_dev")).drop("_dev")
+    return with_quantiles(df, "_dev", by, _mad=0.5).drop("_dev")
 
 
 def robust_z_score(df: DataFrame, value: str, by: list[str], out: str = "robust_z") -> DataFrame:
@@ -49,11 +51,11 @@ def robust_z_score(df: DataFrame, value: str, by: list[str], out: str = "robust_
 
 def b_score(df: DataFrame, value: str, row: str, column: str, by: list[str], out: str = "b_score") -> DataFrame:
     """One pass of median correction: v - (row median - plate median) - (column median - plate median)."""
-    df = _with_stats(df, by, _all=F.median(value))
-    df = _with_stats(df, [*by, row], _row=F.median(value))
-    df = _with_stats(df, [*by, column], _col=F.median(value))
+    out_of = df
+    for name, keys in (("_all", by), ("_row", [*by, row]), ("_col", [*by, column])):
+        out_of = joined_quantiles(out_of, quantiles(df, value, keys, {name: 0.5}), keys)
     v = F.col(value) - (F.col("_row") - F.col("_all")) - (F.col("_col") - F.col("_all"))
-    return df.withColumn(out, v).drop("_all", "_row", "_col")
+    return out_of.withColumn(out, v).drop("_all", "_row", "_col")
 
 
 def plate_quality(df: DataFrame, value: str, positive: Column, negative: Column, by: list[str]) -> DataFrame:
@@ -63,8 +65,9 @@ def plate_quality(df: DataFrame, value: str, positive: Column, negative: Column,
     rest = F.when(~positive & ~negative, v)
     stats = df.groupBy(*by).agg(
         F.avg(p).alias("_mp"), F.stddev_pop(p).alias("_sp"), F.avg(n).alias("_mn"), F.stddev_pop(n).alias("_sn"),
-        F.percentile(rest, 0.25).alias("_q1"), F.percentile(rest, 0.75).alias("_q3"), F.count(F.lit(1)).alias("n_wells"),
+        F.count(F.lit(1)).alias("n_wells"),
     )
+    stats = joined_quantiles(stats, quantiles(df.filter(~positive & ~negative), value, by, {"_q1": 0.25, "_q3": 0.75}), by)
     named = stats.withColumnsRenamed({b: f"_k_{b}" for b in by})
     outside = df.join(named, [F.col(b).eqNullSafe(F.col(f"_k_{b}")) for b in by])
     spread = 1.5 * (F.col("_q3") - F.col("_q1"))
@@ -84,7 +87,7 @@ def outliers(df: DataFrame, value: str, by: list[str], method: str = "iqr", limi
     v = F.col(value)
     if method == "iqr":
         k = 1.5 if limit is None else limit
-        df = _with_stats(df, by, _q1=F.percentile(value, 0.25), _q3=F.percentile(value, 0.75))
+        df = with_quantiles(df, value, by, _q1=0.25, _q3=0.75)
         flag = (v < F.col("_q1") - k * (F.col("_q3") - F.col("_q1"))) | (v > F.col("_q3") + k * (F.col("_q3") - F.col("_q1")))
         return df.withColumn(out, F.coalesce(flag, F.lit(False))).drop("_q1", "_q3")
     scored = {"zscore": z_score, "mad": robust_z_score}[method](df, value, by, "_score")
@@ -102,10 +105,11 @@ def replicates(df: DataFrame, value: str, by: list[str], drop_beyond: float = 2.
     df = _with_stats(df, by, _m=F.avg(value), _s=F.stddev_pop(value), _n=F.count(value))
     near = (F.col("_n") <= 2) | (F.col("_s") == 0) | (F.abs(v - F.col("_m")) < drop_beyond * F.col("_s"))
     kept = df.filter(near)
-    return kept.groupBy(*by).agg(
-        F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_pop(value).alias("std"),
+    stats = kept.groupBy(*by).agg(
+        F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
         (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("sem"), F.count(value).alias("n_replicates"),
     )
+    return joined_quantiles(stats, quantiles(kept, value, by, {"median": 0.5}), by).select(*by, "mean", "median", "std", "sem", "n_replicates")
 
 
 def hits_by_threshold(df: DataFrame, value: str, threshold: float, above: bool = True, out: str = "is_hit") -> DataFrame:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import ratio
+from tesserae.operators.ordered import PARTS
+from tesserae.runtime import written
 
 
 def curve(df: DataFrame, y: str, p: str, bins: int = 10, by_quantile: bool = False) -> DataFrame:
@@ -51,13 +54,84 @@ def pool_adjacent(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarr
     return x, np.repeat([v for v, _, _ in level], [int(k) for _, _, k in level])
 
 
-def isotonic(df: DataFrame, y: str, p: str, grid: int = 1000) -> DataFrame:
-    """(p, fitted): isotonic regression on scores rounded to a grid, so that at most ``grid`` + 1 points are fitted."""
-    spark = df.sparkSession
-    at = F.round(F.col(p) * grid) / grid
-    points = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(at.alias("p")).agg(F.avg(F.col(y).cast("double")).alias("y"), F.count(F.lit(1)).alias("n")).orderBy("p").toPandas()
-    x, fitted = pool_adjacent(points["p"].to_numpy(), points["y"].to_numpy(), points["n"].to_numpy())
-    return spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, fitted, strict=True)], "p double, fitted double")
+def _pooled(rows: pa.Table) -> pa.Table:
+    """The blocks of one range, pooled until their means rise."""
+    order = np.argsort(rows.column("_lo").to_numpy())
+    lo, hi, s, w = (rows.column(c).to_numpy()[order] for c in ("_lo", "_hi", "_s", "_w"))
+    kept: list[list[float]] = []
+    for block in zip(lo.tolist(), hi.tolist(), s.tolist(), w.tolist(), strict=True):
+        kept.append(list(block))
+        while len(kept) > 1 and kept[-2][2] * kept[-1][3] > kept[-1][2] * kept[-2][3]:
+            last = kept.pop()
+            kept[-1] = [kept[-1][0], last[1], kept[-1][2] + last[2], kept[-1][3] + last[3]]
+    return pa.table(dict(zip(("_lo", "_hi", "_s", "_w"), map(list, zip(*kept, strict=True)), strict=True)))
+
+
+def _ranges(df: DataFrame, value: str, parts: int, shift: float) -> DataFrame:
+    """``df`` with _part, a range of a column that holds about 1 / ``parts`` of the rows."""
+    marks = [min(1.0, (i + shift) / parts) for i in range(1, parts)]
+    if not marks:
+        return df.withColumn("_part", F.lit(0))
+    cuts = df.agg(F.percentile_approx(value, F.array(*map(F.lit, marks)), 10 * parts).alias("_cuts"))
+    return df.join(F.broadcast(cuts), how="inner").withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+
+
+def _fitted_on(df: DataFrame, y: str, p: str) -> DataFrame:
+    return df.filter(F.col(y).isNotNull() & F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double")) & ~F.isnan(F.col(y).cast("double")))
+
+
+def isotonic_blocks(df: DataFrame, y: str, p: str, rows: int = 50_000) -> DataFrame:
+    """(_lo, _hi, _s, _w): the blocks of equal fitted value of the isotonic regression of y on p: least and greatest score, sum
+    of y, number of rows.
+
+    Scores are cut into ranges of about ``rows`` blocks and each range is pooled in its own task; what is pooled in a range is
+    pooled in the whole. Ranges are then cut anew, half a range on, until no block is above the next range's first.
+    """
+    score = F.col(p).cast("double")
+    blocks = written(_fitted_on(df, y, p).groupBy(score.alias("_lo")).agg(F.first(score).alias("_hi"), F.sum(F.col(y).cast("double")).alias("_s"), F.count(F.lit(1)).cast("double").alias("_w")), "scores")
+    shift = 0.0
+    while True:
+        parts = max(1, min(PARTS, blocks.count() // rows))
+        ranged = _ranges(blocks, "_lo", parts, shift)
+        blocks = written(ranged.groupBy("_part").applyInArrow(_pooled, "_lo double, _hi double, _s double, _w double"), "blocks")
+        mean = F.col("_s") / F.col("_w")
+        # a row for each range, at most PARTS
+        ends = _ends(blocks, ranged) if parts > 1 else []
+        if all(a <= b for (_, a), (b, _) in zip(ends, ends[1:], strict=False)):
+            return blocks.withColumn("fitted", mean)
+        shift = 0.5 - shift
+
+
+def _ends(blocks: DataFrame, ranged: DataFrame) -> list[tuple[float, float]]:
+    """Fitted value of the first and the last block of each range, in order."""
+    first = ranged.groupBy("_part").agg(F.min("_lo").alias("_from")).collect()
+    starts = sorted(r["_from"] for r in first)
+    at = F.size(F.filter(F.array(*map(F.lit, starts)), lambda c: c <= F.col("_lo")))
+    mean = F.col("_s") / F.col("_w")
+    found = blocks.groupBy(at.alias("_at")).agg(F.min_by(mean, "_lo").alias("a"), F.max_by(mean, "_lo").alias("b")).collect()
+    return [(r["a"], r["b"]) for r in sorted(found, key=lambda r: r["_at"])]
+
+
+def isotonic(df: DataFrame, y: str, p: str, rows: int = 50_000) -> DataFrame:
+    """(p, fitted): isotonic regression of y on a score, a row per distinct score."""
+    scores = _fitted_on(df, y, p).select(F.col(p).cast("double").alias("p")).distinct()
+    return calibrated(scores, "p", isotonic_blocks(df, y, p, rows))
+
+
+def calibrated(df: DataFrame, p: str, blocks: DataFrame) -> DataFrame:
+    """``df`` with ``fitted``: the value of the block that the score is in; between blocks that of the one below, below all
+    the first one's. Scores and the starts of blocks are put in order together, in ranges."""
+    knots = blocks.select(F.col("_lo").alias("_at"), F.col("fitted").alias("_f"))
+    each = df.filter(F.col(p).isNotNull()).select(F.col(p).cast("double").alias("_at")).distinct().withColumn("_f", F.lit(None).cast("double"))
+    ranged = written(_ranges(written(each.unionByName(knots), "knots"), "_at", PARTS, 0.0), "knots")
+    over = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most PARTS rows
+    last = ranged.groupBy("_part").agg(F.max_by("_f", F.when(F.col("_f").isNotNull(), F.col("_at"))).alias("_last"))
+    carried = last.select(F.col("_part").alias("_p"), F.last("_last", ignorenulls=True).over(over).alias("_before"))
+    inner = Window.partitionBy("_part").orderBy("_at", F.desc_nulls_last("_f")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    least = blocks.agg(F.min_by("fitted", "_lo").alias("_least"))
+    found = ranged.withColumn("_in", F.last("_f", ignorenulls=True).over(inner)).filter(F.col("_f").isNull()).join(F.broadcast(carried), F.col("_part") == F.col("_p")).join(F.broadcast(least), how="inner")
+    values = found.select("_at", F.coalesce("_in", "_before", "_least").alias("fitted"))
+    return df.join(values, F.col(p).cast("double") == F.col("_at"), "left").drop("_at")
 
 
 def _newton(df: DataFrame, y: Column, x: Column, rounds: int) -> tuple[float, float]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.operators.quantiles import with_quantiles
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key by ``order``; null keys are one group. An aggregate, so copies combine before they shuffle."""
@@ -80,10 +82,12 @@ def matched_rules(text: Column, rules: dict[str, str]) -> Column:
 def impute(df: DataFrame, how: dict[str, str]) -> DataFrame:
     """Fill nulls by column: 'mean', 'median', 'mode' (the least of the commonest) or 'zero'; 'drop' removes rows."""
     df = df.dropna(subset=[c for c, h in how.items() if h == "drop"] or None) if "drop" in how.values() else df
-    made = {"mean": F.avg, "median": F.median, "mode": lambda c: F.mode(c, deterministic=True)}
+    made = {"mean": F.avg, "mode": lambda c: F.mode(c, deterministic=True)}
     stats = [made[h](c).alias(f"_f_{c}") for c, h in how.items() if h in made]
     if stats:
         df = df.join(F.broadcast(df.agg(*stats)), how="inner")
+    for c in (c for c, h in how.items() if h == "median"):
+        df = with_quantiles(df, c, [], **{f"_f_{c}": 0.5})
     filled = {c: F.coalesce(F.col(c), F.lit(0) if h == "zero" else F.col(f"_f_{c}")) for c, h in how.items() if h != "drop"}
     return df.withColumns(filled).drop(*(f"_f_{c}" for c in how))
 

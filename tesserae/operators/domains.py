@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.operators.similarity import nearest
+from tesserae.operators.neighbours import nearest
 from tesserae.operators.split import draw
 from tesserae.runtime import written
 

@@ -44,8 +44,8 @@ def spearman(df: DataFrame, y: str, p: str) -> DataFrame:
 def kendall_classes(df: DataFrame, y: str, p: str) -> DataFrame:
     """Kendall's tau-b of two columns with few distinct values: from the table of their joint counts.
 
-    Pairs are formed between distinct (y, p) values, so the work grows with the square of those and not of rows; for
-    continuous columns round them to a grid first.
+    Pairs are formed between distinct (y, p) values, so the work grows with the square of those and not of rows;
+    ``concordance.kendall`` is for any columns.
     """
     cells = _pairs(df, y, p).groupBy(F.col(y).alias("y"), F.col(p).alias("p")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     other = cells.select(F.col("y").alias("y2"), F.col("p").alias("p2"), F.col("n").alias("n2"))

@@ -7,12 +7,12 @@ the rest, and what is left is verified on the full sets.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.functions import DISTANCES, sali, tanimoto_bits
+from tesserae.functions import sali, tanimoto_bits
+from tesserae.operators.neighbours import BLOCK, nearest
+from tesserae.operators.quantiles import quantiles
 from tesserae.runtime import written
 
 
@@ -45,29 +45,6 @@ def _joined(left: DataFrame, right: DataFrame, key: str, bits: str, t: float, wi
     return scored.distinct()
 
 
-def nearest(queries: DataFrame, df: DataFrame, key: str, vector: str, k: int, metric: str = "euclidean", include_self: bool = False, block: int = 2000) -> DataFrame:
-    """The k nearest rows of each query: (query, neighbour, distance, rank), ties to the least key.
-
-    Queries go to every task of ``df``, about ``block`` of them at a time, so that what is broadcast is bounded; a task
-    passes on its k best for each query and only those are shuffled.
-    """
-    distance = DISTANCES[metric]
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
-    d = df.select(F.col(key).alias("neighbour"), F.col(vector).alias("_v"))
-    order = Window.partitionBy("query").orderBy("distance", "neighbour")
-
-    def found(some: DataFrame) -> DataFrame:
-        pairs = d.join(F.broadcast(some), F.lit(True) if include_self else F.col("query") != F.col("neighbour"))
-        scored = pairs.select("query", "neighbour", distance(F.col("_q"), F.col("_v")).alias("distance"))
-        return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
-
-    blocks = -(-queries.count() // block)
-    if blocks <= 1:
-        return found(q)
-    at = F.pmod(F.xxhash64("query"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, (written(found(q.filter(at == i)), "nearest") for i in range(blocks)))
-
-
 def activity_cliffs(df: DataFrame, key: str, bits: str, activity: str, similarity: float = 0.7, change: float = 1.0) -> DataFrame:
     """Similar pairs whose activities differ by ``change`` or more, with their landscape index."""
     pairs = similar_pairs(df, key, bits, similarity)
@@ -83,12 +60,12 @@ def cliff_summary(cliffs: DataFrame) -> DataFrame:
     return cliffs.agg(F.count(F.lit(1)).alias("n_cliffs"), F.avg("sali").alias("mean_sali"), F.max("sali").alias("max_sali")).join(F.broadcast(both.agg(F.count_distinct("m").alias("n_molecules"))), how="inner")
 
 
-def knn_domain(train: DataFrame, rows: DataFrame, key: str, vector: str, k: int = 5, sigmas: float = 3.0, include_self: bool = True, block: int = 2000) -> DataFrame:
+def knn_domain(train: DataFrame, rows: DataFrame, key: str, vector: str, k: int = 5, sigmas: float = 3.0, include_self: bool = True, block: int = BLOCK) -> DataFrame:
     """Applicability domain by mean distance to the k nearest training rows.
 
     The threshold is mean plus ``sigmas`` population deviations of that distance over the training rows themselves (each
     its own neighbour at 0 unless ``include_self`` is off); reliability falls linearly to 0 there. Both sets are queries
-    against all training rows, about ``block`` of them at a time; keys are distinct.
+    against the training rows (``neighbours.nearest``); keys are distinct.
     """
     mean = lambda q, own: nearest(q, train, key, vector, k, include_self=own, block=block).groupBy("query").agg(F.avg("distance").alias("distance"))
     limit = mean(train, include_self).agg((F.avg("distance") + sigmas * F.stddev_pop("distance")).alias("threshold"))
@@ -107,6 +84,8 @@ def box_domain(train: DataFrame, rows: DataFrame, key: str, vector: str, margin:
 
 def conformal(df: DataFrame, y: str, p: str, level: float = 0.9) -> DataFrame:
     """Half-width of split-conformal intervals: the quantile of absolute residuals at min(1, ceil((n + 1) level) / n)."""
-    n = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).count()
-    at = min(1.0, -(-(n + 1) * level // 1) / n) if n else 1.0
-    return df.agg(F.count(F.col(y) - F.col(p)).alias("n"), F.percentile(F.abs(F.col(y) - F.col(p)), at).alias("half_width"))
+    residuals = df.select(F.abs(F.col(y) - F.col(p)).alias("_r"))
+    at = lambda n: F.least(F.lit(1.0), F.try_divide(F.ceil((n + 1) * level), n))
+    found = quantiles(residuals, "_r", [], {"half_width": at}).select("half_width")
+    counted = residuals.agg(F.count("_r").alias("n"))
+    return counted.join(F.broadcast(found), F.lit(True), "left")

@@ -31,4 +31,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLE)
 
 
-from tesserae.plans import assay, choose, curate, evaluate, learn, stream  # noqa: E402,F401
+from tesserae.plans import assay, choose, curate, evaluate, learn, networks, stream  # noqa: E402,F401

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserae.functions import BIT_SIMILARITIES, DISTANCES, normal_cdf_sql, normal_pdf_sql
-from tesserae.operators import pairs, routes, select, similarity
+from tesserae.operators import pairs, routes, select, similarity, skyline
 from tesserae.operators.graph import components
 from tesserae.plans import register
 from tesserae.plans._common import BITS, bits, rounded
@@ -149,6 +149,31 @@ def scalarised(spark, sf):
     return rounded(s.select("id", select.weighted(w).alias("score"), select.tchebycheff(w).alias("tchebycheff")))
 
 
+#: Parts by price and size, and what is sold of them.
+_SALES = "g AS (SELECT p_partkey, p_retailprice AS price, p_size AS size, sum(l_quantity) AS sold, avg(l_discount) AS discount FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY ALL)"
+_BEATEN = "(b.price >= a.price AND b.size <= a.size AND b.sold >= a.sold AND b.discount <= a.discount AND (b.price > a.price OR b.size < a.size OR b.sold > a.sold OR b.discount < a.discount))"
+
+
+def _sales(spark, sf):
+    sold = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").alias("sold"), F.avg("l_discount").alias("discount"))
+    return table(spark, sf, "part").join(sold, F.col("p_partkey") == F.col("l_partkey")).select("p_partkey", F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"), "sold", F.round("discount", 9).alias("discount"))
+
+
+_GOALS = {"price": "maximize", "size": "minimize", "sold": "maximize", "discount": "minimize"}
+
+
+@register("portfolio_pareto_many", f"WITH {_SALES.replace('avg(l_discount)', 'round(avg(l_discount), 9)')} SELECT p_partkey, round(price, 6) AS price, size, round(sold, 6) AS sold, round(discount, 6) AS discount FROM g a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE {_BEATEN})")
+def pareto_many(spark, sf):
+    return rounded(skyline.pareto_front(_sales(spark, sf), _GOALS))
+
+
+@register("portfolio_pareto_ranks", f"""WITH {_SALES.replace('avg(l_discount)', 'round(avg(l_discount), 9)')}, f1 AS (SELECT * FROM g a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE {_BEATEN})), r1 AS (SELECT * FROM g ANTI JOIN f1 USING (p_partkey)),
+    f2 AS (SELECT * FROM r1 a WHERE NOT EXISTS (SELECT 1 FROM r1 b WHERE {_BEATEN})), r2 AS (SELECT * FROM r1 ANTI JOIN f2 USING (p_partkey)), f3 AS (SELECT * FROM r2 a WHERE NOT EXISTS (SELECT 1 FROM r2 b WHERE {_BEATEN}))
+    SELECT p_partkey, 1 AS front FROM f1 UNION ALL SELECT p_partkey, 2 FROM f2 UNION ALL SELECT p_partkey, 3 FROM f3""")
+def pareto_ranks(spark, sf):
+    return skyline.pareto_ranks(_sales(spark, sf), _GOALS, 3).select("p_partkey", "front")
+
+
 @register("portfolio_pareto", f"WITH {_C} SELECT a.id, round(a.mean, 6) AS mean, round(a.size, 6) AS size FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.mean >= a.mean AND b.size >= a.size AND (b.mean > a.mean OR b.size > a.size))")
 def pareto(spark, sf):
     return rounded(select.pareto_front(_candidates(spark, sf).select("id", "mean", "size"), "id", "mean", "size"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserae.functions import normal_cdf_sql
-from tesserae.operators import calibration, metrics, prospective, significance
+from tesserae.operators import calibration, concordance, metrics, prospective, significance
 from tesserae.plans import register
 from tesserae.plans._common import rounded
 from tesserae.runtime import table
@@ -46,6 +46,22 @@ def kendall(spark, sf):
     return rounded(metrics.kendall_classes(table(spark, sf, "labels"), "quality", "toxic"))
 
 
+@register("metrics_kendall_continuous", """WITH t AS (SELECT o_totalprice::DOUBLE AS y, c_acctbal::DOUBLE AS p FROM orders JOIN customer ON o_custkey = c_custkey), c AS (SELECT y, p, count(*)::DOUBLE AS n FROM t GROUP BY ALL),
+    s AS (SELECT coalesce(sum(sign(a.p - b.p) * a.n * b.n), 0) AS s FROM c a JOIN c b ON a.y > b.y), n AS (SELECT sum(n) AS n FROM c),
+    ty AS (SELECT sum(m * (m - 1) / 2) AS t FROM (SELECT sum(n) AS m FROM c GROUP BY y)), tp AS (SELECT sum(m * (m - 1) / 2) AS t FROM (SELECT sum(n) AS m FROM c GROUP BY p))
+    SELECT round(s / nullif(sqrt((n * (n - 1) / 2 - ty.t) * (n * (n - 1) / 2 - tp.t)), 0), 6) AS kendall FROM s, n, ty, tp""")
+def kendall_continuous(spark, sf):
+    """Order totals against the balance of the customer."""
+    t = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_totalprice").alias("y"), F.col("c_acctbal").alias("p"))
+    return rounded(concordance.kendall(t, "y", "p"))
+
+
+@register("metrics_kendall_prices")
+def kendall_prices(spark, sf):
+    """Prices of all order lines against the rough prediction of them; too many pairs for SQL, brute force is in the tests."""
+    return rounded(concordance.kendall(_predictions(spark, sf), "y", "p"))
+
+
 def _scored(spark, sf):
     return table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id").select("doc_id", F.col("quality").alias("y"), (F.col("n_chars") / 20000.0).alias("s"), (F.col("n_chars") > 500).cast("int").alias("p"), F.col("toxic").alias("y2"))
 
@@ -117,9 +133,13 @@ def uncertainty(spark, sf):
     return rounded(calibration.uncertainty(_predictions(spark, sf), "y", "p", "u", ["l_returnflag"]))
 
 
-@register("calibration_isotonic")
+@register("calibration_isotonic", f"""WITH {_S}, k AS (SELECT p, row_number() OVER (ORDER BY p) AS i, sum(y) OVER w AS s, sum(n) OVER w AS n FROM (SELECT least(s, 1.0) AS p, sum(y)::DOUBLE AS y, count(*)::DOUBLE AS n FROM t GROUP BY 1) WINDOW w AS (ORDER BY p)),
+    z AS (SELECT i, s, n FROM k UNION ALL SELECT 0, 0, 0), m AS (SELECT a.i AS i, b.i AS j, (b.s - a.s) / (b.n - a.n) AS mean FROM z a JOIN k b ON a.i < b.i),
+    l AS (SELECT i, j, min(mean) OVER (PARTITION BY i ORDER BY j DESC) AS least FROM m)
+    SELECT p, round(max(least), 6) AS fitted FROM k JOIN l ON l.i < k.i AND l.j = k.i GROUP BY p""")
 def isotonic(spark, sf):
-    return calibration.isotonic(_scored(spark, sf).withColumn("s", F.least("s", F.lit(1.0))), "y", "s")
+    fitted = calibration.isotonic(_scored(spark, sf).withColumn("s", F.least("s", F.lit(1.0))), "y", "s")
+    return fitted.withColumn("fitted", F.round("fitted", 6))
 
 
 @register("significance_paired_t")
