@@ -29,7 +29,7 @@ TINY = 1e-300
 
 def _bucket(v: Column, lo: Column, hi: Column, by_size: Column) -> Column:
     """The part of its range that a value falls in: monotone in the value; infinities have parts of their own."""
-    size = lambda x: F.signum(x) * F.log1p(F.abs(x) / TINY)
+    size = lambda x: F.signum(x) * (F.log(F.greatest(F.abs(x), F.lit(TINY))) - F.log(F.lit(TINY)))
     at = lambda f: F.try_divide(f(v) - f(lo), f(hi) - f(lo))
     share = F.when(by_size, at(size)).otherwise(at(lambda x: x / 2))
     part = F.least(F.lit(BUCKETS - 1), F.floor(F.coalesce(share, F.lit(0.0)) * BUCKETS))
