@@ -22,7 +22,6 @@ empty result; other columns play no part.
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,6 +34,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import bpe
 from tesserae.llm._words import blocks
+from tesserae.llm.ranks import Ranks
 from tesserae.runtime import discard, written
 
 #: Chunks that a worker remembers and the longest of them; pairs that are sent to every task; bytes of text at once.
@@ -44,40 +44,6 @@ MARK = "▁"
 _cut = re.compile(r"(?<=\S) (?=\S)").split
 
 
-class ByteLevel:
-    """A byte-level BPE file: ids and bytes of tokens, special tokens' strings being ordinary text."""
-
-    def __init__(self, path: str):
-        import tiktoken
-
-        with open(path, encoding="utf-8") as f:
-            file = json.load(f)
-        symbols, special = bpe.byte_symbols(), {t["content"] for t in file["added_tokens"]}
-        spelled = {bytes(symbols[c] for c in t): i for t, i in file["model"]["vocab"].items() if t not in special}
-        self.size = max(file["model"]["vocab"].values()) + 1
-        self.label = [b""] * self.size
-        for t, i in spelled.items():
-            self.label[i] = t
-        # the file's order of merges is the order of ids, so that ids are ranks
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in file["model"]["merges"]]
-        made = [file["model"]["vocab"][a + b] for a, b in pairs]
-        self._ranked = all(x < y for x, y in zip(made, made[1:], strict=False))
-        if self._ranked:
-            self._tokenizer = tiktoken.Encoding("ranks", pat_str=bpe.PATTERN, mergeable_ranks=spelled, special_tokens={})
-        else:
-            from tokenizers import Tokenizer
-
-            self._tokenizer = Tokenizer.from_file(path)
-            self._tokenizer.encode_special_tokens = True
-            self._tokenizer.no_truncation()
-            self._tokenizer.no_padding()
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if self._ranked:
-            return [self._tokenizer.encode_ordinary(" " + t) for t in texts]
-        return [x.ids for x in self._tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
-
-
 class Pieces:
     """A piece model: ids and bytes of tokens; ``parted`` if the word mark only ever leads a piece."""
 
@@ -141,7 +107,7 @@ class Pair:
     """Both tokenizers and what is kept about chunks."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = ByteLevel(a_path), Pieces(b_path)
+        self.a, self.b = Ranks(a_path), Pieces(b_path)
         self.bytes_a, self.bytes_b = (np.array([len(x) for x in side.label], np.int64) for side in (self.a, self.b))
         # each id in decimal with each mark that may follow it, so that groups are spelled by look-ups
         most = max(self.a.size, self.b.size)
@@ -157,7 +123,7 @@ class Pair:
 
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of A and B one after the other, how many each text has, and which texts both spell; others have none."""
-        ids, labels = [self.a.encode(texts), self.b.encode(texts)], (self.a.label, self.b.label)
+        ids, labels = [self.a.ordinary([" " + t for t in texts]), self.b.encode(texts)], (self.a.label, self.b.label)
         want = [b" " + t.encode() for t in texts]
         good = np.ones(len(texts), bool)
         # all at once: equal bytes, and as many for each text

@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe
+from tesserae.llm import ranks
 from tesserae.runtime import written
 
 CAPACITY, CLOSING = 1024, 2
-#: Parts that the pieces of one length are ranked in.
-SALTS = 256
+#: Least and most parts that the pieces of one length are ranked in, and pieces that a part should have.
+SALTS, PART = (64, 1024), 1 << 16
 
 Group = tuple[tuple[int, ...], int]
 
@@ -156,7 +156,7 @@ def _pieces(path: str, capacity: int, closing: int):
     end = np.array([closing], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe.load(path)
+        encoder = ranks.load(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part, out = batch.slice(at, 512), ([], [], [], [], [])
@@ -183,10 +183,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, closing: int =
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, closing: int = CLOSING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id and offset."""
     found = written(pieces(docs, path, capacity, closing, id_col, text_col), "pieces")
-    salted = found.withColumn("_salt", F.pmod(F.xxhash64("_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    # at most capacity * SALTS rows, whatever the input
+    parts = max(SALTS[0], min(SALTS[1], found.count() // PART))
+    salted = found.withColumn("_salt", F.pmod(F.xxhash64("_id", "piece", "ids_crc32"), F.lit(parts)).cast("int"))
+    # at most capacity * parts rows
     tally = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")).toPandas()
-    counts = np.zeros((capacity + 1, SALTS), np.int64)
+    counts = np.zeros((capacity + 1, parts), np.int64)
     counts[tally["length"].to_numpy(np.int64), tally["_salt"].to_numpy(np.int64)] = tally["_n"].to_numpy(np.int64)
     before = np.cumsum(counts, axis=1) - counts
     slots = Slots(plan(counts.sum(axis=1)), capacity)
