@@ -10,6 +10,11 @@ slid over the words of the whole text too: of all runs of bigrams that start and
 reach the threshold are 'span's. Of spans that overlap, the one with the largest 2 * shared - threshold * (a + b) stays; a
 span inside a unit that matches isn't repeated.
 
+Relatives differ by a word or a number that hardly moves the coefficient: versions, and variants such as Affero, Lesser or
+NonCommercial. These telling words are counted in the unit and in the template. A template may not name a unit that has more of
+one than it has itself, and a short one (SHORT bigrams at most) needs all of its own to be there; the next best template is
+tried, and if none may, the unit is of an 'unknown version' and the name says what it is like.
+
 Defined results for odd input: a null or empty text, and one with fewer than two words, has no bigram and matches nothing;
 equal coefficients go to the template that comes first by name; copies and repeated rows are scanned alike; texts may be of
 any length; an empty table gives an empty result; other columns play no part.
@@ -30,6 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+#: Bigrams of a template in which any small number is a version.
+SHORT = 120
+#: Words that tell variants of a licence apart, with their short forms, and those that stand before a version.
+VARIANTS = {"affero": "affero", "agpl": "affero", "lesser": "lesser", "lgpl": "lesser", "library": "library", "noncommercial": "nc", "nc": "nc", "sharealike": "sa", "sa": "sa", "noderivatives": "nd", "noderivs": "nd", "nd": "nd"}
+BEFORE_VERSION = ("version", "versions", "v", "ver")
+UNKNOWN = "unknown version, like "
+_NUMBER = re.compile(r"v?([0-9](?:\.[0-9]+)*)")
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 # Public licence texts, headers and the usual one-line notices, by name. Complete texts stand in license_texts.
@@ -63,6 +75,19 @@ def dice(a: Counter, b: Counter) -> float:
     return 2 * (a & b).total() / total if total else 0.0
 
 
+def telling(words: list[str]) -> list[tuple[int, str, bool]]:
+    """(place, what it tells, whether it tells that in long texts too) of the words that tell relatives apart."""
+    out = []
+    for k, word in enumerate(words):
+        for part in word.split("-"):
+            if part in VARIANTS:
+                out.append((k, VARIANTS[part], True))
+            elif number := _NUMBER.fullmatch(part):
+                named = part[0] == "v" or bool(k and words[k - 1].strip(".") in BEFORE_VERSION)
+                out.append((k, "version " + re.sub(r"(\.0)+$", "", number[1]), named))
+    return out
+
+
 class Scanner:
     """Templates ordered by size, and the bigrams that any of them has."""
 
@@ -71,6 +96,7 @@ class Scanner:
         self.threshold = threshold
         self.sizes, self.names = [n for n, _ in found], [name for _, name in found]
         self.grams = [bigrams(templates[name]) for name in self.names]
+        self.told = [Counter(what for _, what, plain in telling(_WORD.findall(templates[name].lower())) if plain or n <= SHORT) for n, name in zip(self.sizes, self.names, strict=True)]
         self.known = {g for t in self.grams for g in t}
         self.words = {w for g in self.known for w in g}
         self.places: dict[tuple[str, str], list[tuple[int, int]]] = {}
@@ -78,6 +104,14 @@ class Scanner:
             for g, n in grams.items():
                 self.places.setdefault(g, []).append((i, n))
 
+    def may_name(self, i: int, told: list[tuple[int, str, bool]], first: int, last: int) -> bool:
+        """Whether template i may name the words from ``first`` to ``last``, by what they tell."""
+        short, own = self.sizes[i] <= SHORT, self.told[i]
+        found = Counter(what for k, what, plain in told if first <= k <= last and (plain or short))
+        if any(n - own[what] > int(0.2 * max(n, own[what])) for what, n in found.items()):
+            return False
+        return not short or all(found[what] for what in own)
+
     def best(self, unit: str) -> tuple[str, float, int] | None:
         """(template, coefficient, bigrams) of the best match that reaches the threshold."""
         words = _WORD.findall(unit.lower())
@@ -91,8 +125,14 @@ class Scanner:
         if 2 * grams.total() < self.threshold * n:
             return None
         found = [(-2 * (grams & self.grams[i]).total() / (n + self.sizes[i]), self.names[i]) for i in range(low, high)]
-        score, name = min(found)
-        return (name, -score, n) if -score >= self.threshold else None
+        enough = sorted((score, name) for score, name in found if -score >= self.threshold)
+        if not enough:
+            return None
+        told = telling(words)
+        for score, name in enough:
+            if self.may_name(self.names.index(name), told, 0, n):
+                return name, -score, n
+        return UNKNOWN + enough[0][1], -enough[0][0], n
 
     def scan(self, text: str) -> list[tuple[str, str, float, int, int]]:
         """(unit, template, coefficient, start, end) of the units that match; start and end are places in the text."""
@@ -155,9 +195,13 @@ class Scanner:
                 total[i] += min(n, most)
         # a run that reaches t shares t / (2 - t) of the template's bigrams at least
         least = self.threshold / (2 - self.threshold)
-        found = [(-w[0], self.names[i], *w[1:]) for i, n in enumerate(total) if n and n >= self.sizes[i] * least - 1e-9 for w in self.windows(hits, i)]
+        told = telling(words)
+        runs = [(i, w) for i, n in enumerate(total) if n and n >= self.sizes[i] * least - 1e-9 for w in self.windows(hits, i)]
+        # runs that a template may name come first
+        fine = [self.may_name(i, told, w[2], w[3] + 1) for i, w in runs]
+        found = [(not f, -w[0], self.names[i] if f else UNKNOWN + self.names[i], *w[1:]) for f, (i, w) in zip(fine, runs, strict=True)]
         taken: list[tuple[str, float, int, int]] = []
-        for _, name, score, a, b in sorted(found):
+        for _, _, name, score, a, b in sorted(found):
             # a bigram reaches into the next word, so runs that end and start side by side share a word
             if all(b < x or y < a for _, _, x, y in taken):
                 taken.append((name, score, a, b))

@@ -374,8 +374,9 @@ def held_out(id_: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = 1500, clean: int = 2500, chars: int = 1 << 26) -> Model | None:
     """The model of at most ``toxic`` and ``clean`` labelled rows that aren't held out, drawn by a hash of their id.
 
-    Of rows that repeat an id the least text counts. Whole texts are taken in the order of the draw while they come to
-    ``chars`` characters at most, so that what reaches the driver is bounded.
+    Of rows that repeat an id the least text counts. Texts of more than a sixteenth of ``chars`` characters are left out; the
+    others are taken whole in the order of the draw while they come to ``chars`` at most, so that what reaches the driver is
+    bounded and one long text doesn't shut out those behind it.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_y IN (0, 1) AND _id IS NOT NULL")
     known = known.filter(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_y").alias("_y"))
@@ -384,6 +385,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # at most toxic + clean rows, so the broadcast is bounded
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(some), "_id")
     rows = written(rows.groupBy("_id").agg(F.min("_text").alias("_text"), F.min("_y").alias("_y")), "labelled")
+    rows = rows.filter(F.coalesce(F.length("_text"), F.lit(0)) <= chars // 16)
     order = Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sized = rows.withColumn("_sum", F.sum(F.coalesce(F.length("_text"), F.lit(0))).over(order)).filter(F.col("_sum") <= chars)
     rows = sized.select("_id", "_text", "_y").toPandas().sort_values("_id")

@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tesserae.llm import alignment, fim, sharding
+from tesserae.llm import alignment, fim, licenses, sharding, toxicity
 
 SCHEMA = "doc_id long, text string, n long, _id string, pairs long, output string, shard int, bytes string"
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -237,3 +237,53 @@ def test_shards_are_written(docs, spark, tmp_path):
     back = spark.read.parquet(f"{tmp_path}/out")
     assert "shard_" in back.columns and back.select("shard_").distinct().count() <= made
     assert Counter(map(tuple, back.select(*docs.columns).collect())) == Counter(map(tuple, docs.collect()))
+
+
+CONFUSIONS = [
+    ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0 notice"),
+    ("Licensed under CC BY-NC 3.0.", None),
+    ("Licensed under CC BY-NC-SA 4.0.", None),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0 notice"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", None),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", None),
+    ("This work is licensed under a Creative Commons Attribution 3.0 International License.", None),
+    ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0 notice"),
+    ("This work is licensed under the GNU General Public License, version 2.", None),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", None),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", None),
+    ("Licensed under the Apache License, Version 2.0.", "Apache-2.0 notice"),
+    ("Licensed under the Apache License, Version 1.1.", None),
+    ("Licensed under the Apache License, Version 2.", "Apache-2.0 notice"),
+]
+
+
+def test_licences_that_differ_by_a_word(spark):
+    long = [
+        (licenses.TEMPLATES["GPL-3.0"], "GPL-3.0"), (licenses.TEMPLATES["GPL-2.0"], "GPL-2.0"), (licenses.TEMPLATES["LGPL-3.0"], "LGPL-3.0"),
+        (licenses.TEMPLATES["GPL-3.0"].replace("GNU GENERAL", "GNU AFFERO GENERAL").replace("GNU General", "GNU Affero General"), None),
+        (licenses.TEMPLATES["CC-BY-SA-4.0"].replace("ShareAlike", "NonCommercial"), None), (licenses.TEMPLATES["CC-BY-SA-4.0"], "CC-BY-SA-4.0"),
+        (licenses.TEMPLATES["AGPL-3.0 header"], "AGPL-3.0 header"), (licenses.TEMPLATES["GPL-2.0 header"], "GPL-2.0 header"), (licenses.TEMPLATES["GPL-3.0 header"], "GPL-3.0 header"),
+        (licenses.TEMPLATES["GPL-3.0 header"].replace("version 3", "version 4"), None), (licenses.TEMPLATES["MPL-2.0 header"].replace("2.0", "1.1"), None),
+    ]
+    cases = CONFUSIONS + long
+    inside = [(f"Some words before it. {text} And some behind.", name) for text, name in CONFUSIONS]
+    rows = [(i, t) for i, (t, _) in enumerate(cases + inside)]
+    got = defaultdict(set)
+    for r in licenses.scan(spark.createDataFrame(rows_of(rows), SCHEMA)).collect():
+        got[r.doc_id].add(r.license)
+    for i, (text, name) in enumerate(cases + inside):
+        if name:
+            assert name in got[i] and not any(n.startswith(licenses.UNKNOWN) for n in got[i]), (text[:80], got[i])
+        else:
+            assert got[i] and all(n.startswith(licenses.UNKNOWN) for n in got[i]), (text[:80], got[i])
+
+
+def test_one_long_text_shuts_no_other_out(spark):
+    bad, fine = ["you filthy idiot scum", "shut up moron scum"], ["a quiet walk by the river", "the recipe needs two eggs"]
+    rows = [(i, (bad if i % 2 else fine)[i // 2 % 2] + f" {i}") for i in range(80)]
+    docs = spark.createDataFrame([*rows, *((1000 + i, "x " * 3000) for i in range(4))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows] + [(1000 + i, 0) for i in range(4)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, chars=32_000)
+    assert model is not None
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert min(scores[i] for i in range(1, 80, 2)) > max(scores[i] for i in range(0, 80, 2))
