@@ -197,8 +197,8 @@ class Scanner:
         least = self.threshold / (2 - self.threshold)
         told = telling(words)
         runs = [(i, w) for i, n in enumerate(total) if n and n >= self.sizes[i] * least - 1e-9 for w in self.windows(hits, i)]
-        # runs that a template may name come first
-        fine = [self.may_name(i, told, w[2], w[3] + 1) for i, w in runs]
+        # runs that a template may name come first; a version that differs stands right behind the shared words
+        fine = [self.may_name(i, told, w[2], w[3] + 2) for i, w in runs]
         found = [(not f, -w[0], self.names[i] if f else UNKNOWN + self.names[i], *w[1:]) for f, (i, w) in zip(fine, runs, strict=True)]
         taken: list[tuple[str, float, int, int]] = []
         for _, _, name, score, a, b in sorted(found):
