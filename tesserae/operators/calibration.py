@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import ratio
 from tesserae.operators.ordered import PARTS
+from tesserae.operators.quantiles import with_quantiles
 from tesserae.runtime import written
 
 
@@ -16,8 +17,8 @@ def curve(df: DataFrame, y: str, p: str, bins: int = 10, by_quantile: bool = Fal
     """(bin, n, accuracy, confidence) of bins of equal width, or equally filled; bins are right-open, 1 in the last."""
     rows = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
     if by_quantile:
-        cuts = rows.agg(F.percentile(p, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("_cuts"))
-        rows = rows.join(F.broadcast(cuts), how="inner").withColumn("bin", F.size(F.filter("_cuts", lambda c: c <= F.col(p))).cast("long"))
+        cuts = {f"_cut{i}": i / bins for i in range(1, bins)}
+        rows = with_quantiles(rows, p, [], **cuts).withColumn("bin", sum((F.when(F.col(c) <= F.col(p), 1).otherwise(0) for c in cuts), F.lit(0)).cast("long"))
     else:
         rows = rows.withColumn("bin", F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("long"))
     return rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(y).cast("double")).alias("accuracy"), F.avg(p).alias("confidence"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import DISTANCES
@@ -33,6 +33,17 @@ def summary(results: DataFrame) -> DataFrame:
     )
 
 
+def save(campaigns: DataFrame, results: DataFrame, folder: str) -> None:
+    """Both tables as Parquet; results lie by campaign, so that one campaign is read alone."""
+    campaigns.write.mode("overwrite").parquet(f"{folder}/campaigns")
+    results.write.mode("overwrite").partitionBy("campaign").parquet(f"{folder}/results")
+
+
+def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(campaigns, results) as they were saved."""
+    return spark.read.parquet(f"{folder}/campaigns"), spark.read.parquet(f"{folder}/results")
+
+
 def exploration_weight(round_number: int, max_rounds: int, start: float = 0.5, decay: bool = True) -> float:
     """The weight of exploration, falling to 0 over the rounds."""
     return start * max(0.0, 1 - round_number / max(max_rounds, 1)) if decay else start

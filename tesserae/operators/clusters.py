@@ -6,17 +6,18 @@ Rows without vector are left out; ties go to the least cluster and key; fewer ro
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions import DISTANCES
 from tesserae.operators.split import draw
 
 
-def _assigned(vector: Column, centres: np.ndarray, metric: str) -> Column:
-    """(distance, cluster) of the nearest centre."""
-    known = F.array(*(F.array(*(F.lit(float(v)) for v in c)) for c in centres))
-    return F.array_min(F.transform(known, lambda c, i: F.named_struct(F.lit("distance"), DISTANCES[metric](vector, c), F.lit("cluster"), i)))
+def _assigned(rows: DataFrame, vector: str, centres: np.ndarray, metric: str) -> DataFrame:
+    """``rows`` with _at: (distance, cluster) of the nearest centre. The centres are a table of one row."""
+    known = rows.sparkSession.createDataFrame([(centres.tolist(),)], "_known array<array<double>>")
+    near = F.array_min(F.transform("_known", lambda c, i: F.named_struct(F.lit("distance"), DISTANCES[metric](F.col(vector), c), F.lit("cluster"), i)))
+    return rows.join(F.broadcast(known), how="inner").withColumn("_at", near).drop("_known")
 
 
 def kmeans(df: DataFrame, key: str, vector: str, k: int, rounds: int = 10, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
@@ -29,7 +30,7 @@ def kmeans(df: DataFrame, key: str, vector: str, k: int, rounds: int = 10, seed:
     centres = np.array([list(r[0]) for r in first], np.float64)
     for _ in range(rounds if len(centres) else 0):
         # assigned below the explode, once a row
-        near = rows.withColumn("cluster", _assigned(F.col(vector), centres, "euclidean")["cluster"]).select("cluster", F.posexplode(vector).alias("i", "x"))
+        near = _assigned(rows, vector, centres, "euclidean").select(F.col("_at.cluster").alias("cluster"), F.posexplode(vector).alias("i", "x"))
         found = near.groupBy("cluster", "i").agg(F.avg(F.col("x").cast("double")).alias("m")).collect()
         moved = centres.copy()
         for r in found:
@@ -39,8 +40,7 @@ def kmeans(df: DataFrame, key: str, vector: str, k: int, rounds: int = 10, seed:
         centres = moved
     if not len(centres):
         return rows.select(key, vector, F.lit(0).alias("cluster"), F.lit(0.0).alias("distance")), centres
-    at = _assigned(F.col(vector), centres, "euclidean")
-    return rows.withColumn("_at", at).select(key, vector, "_at.cluster", "_at.distance"), centres
+    return _assigned(rows, vector, centres, "euclidean").select(key, vector, "_at.cluster", "_at.distance"), centres
 
 
 def pick(df: DataFrame, key: str, vector: str, k: int, mode: str = "medoid", score: str | None = None, rounds: int = 10, seed: int = 0) -> DataFrame:

@@ -44,10 +44,10 @@ def selected(df: DataFrame, features: list[str], y: str, k: int) -> list[str]:
     return sorted(features, key=lambda c: -strength[c])[:k]
 
 
-def _sums(df: DataFrame, features: list[str], y: str, by: list[Column]) -> dict:
+def _sums(df: DataFrame, features: list[str], y: str, by: list[Column], weight: Column | None = None) -> dict:
     x = [F.lit(1.0), *(F.col(c).cast("double") for c in features), F.col(y).cast("double")]
     pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
-    rows = df.dropna(subset=[*features, y]).groupBy(*by).agg(*(F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i, j in pairs)).collect()
+    rows = df.dropna(subset=[*features, y]).groupBy(*by).agg(*(F.sum(x[i] * x[j] if weight is None else weight * x[i] * x[j]).alias(f"s{i}_{j}") for i, j in pairs)).collect()
     out = {}
     for r in rows:
         m = np.zeros((len(x), len(x)))
@@ -73,6 +73,40 @@ def fit(df: DataFrame, features: list[str], y: str, ridge: float = 1e-6) -> Line
     return _solved(sums.get(None, np.zeros((len(features) + 2,) * 2)), features, ridge)
 
 
+@dataclass
+class Ensemble:
+    """Lines fitted to bootstrap draws of the same rows."""
+
+    members: list[Linear]
+
+    def predict(self, df: DataFrame, mean: str = "mean", std: str = "std") -> DataFrame:
+        """``df`` with the mean and the population deviation of the members' predictions."""
+        each = F.array(*(m.column() for m in self.members))
+        total = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x)
+        out = df.withColumn("_each", each).withColumn(mean, total(F.col("_each")) / len(self.members))
+        off = F.transform("_each", lambda x: (x - F.col(mean)) * (x - F.col(mean)))
+        return out.withColumn(std, F.sqrt(total(off) / len(self.members))).drop("_each")
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """A row for each member."""
+        spark.createDataFrame([(i, json.dumps(asdict(m))) for i, m in enumerate(self.members)], "member int, model string").coalesce(1).write.mode("overwrite").json(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Ensemble:
+        return Ensemble([Linear(**json.loads(r["model"])) for r in spark.read.json(path).orderBy("member").collect()])
+
+
+def ensemble(df: DataFrame, features: list[str], y: str, key: str, members: int = 10, ridge: float = 1e-6, seed: int = 0) -> Ensemble:
+    """``members`` lines in one pass: a row's weight in each is a Poisson draw by a hash of member and key, and the sums of all
+    members are taken where the rows lie."""
+    from tesserae.operators.significance import _poisson
+
+    drawn = df.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(members)))).withColumn("_weight", _poisson(key, seed)).filter("_weight > 0")
+    sums = _sums(drawn, features, y, [F.col("_rep")], F.col("_weight"))
+    none = np.zeros((len(features) + 2,) * 2)
+    return Ensemble([_solved(sums.get(k, none), features, ridge) for k in range(1, members + 1)])
+
+
 def cross_validated(df: DataFrame, features: list[str], y: str, key: str, folds: int = 5, ridge: float = 1e-6, seed: int = 42) -> DataFrame:
     """(fold, n, r2, mae, rmse): rows are dealt to folds by a hash; one pass sums all folds, and a fold's line is of the others."""
     from tesserae.operators.metrics import regression_aggregates

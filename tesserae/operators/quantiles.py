@@ -97,21 +97,28 @@ def quantiles(df: DataFrame, value: str, by: list[str], shares: dict[str, Share]
     """
     v = F.col(value).cast("double")
     rows = written(df.filter(v.isNotNull() & ~F.isnan(v)).select(_group(by).alias("_g"), v.alias("_v"), F.lit(1).cast("long").alias("_w")), "values")
+    return of_rows(rows, shares, gather)
+
+
+def of_rows(rows: DataFrame, shares: dict[str, Share], gather: int = GATHER) -> DataFrame:
+    """``quantiles`` of rows (_g, _v, _w = 1). They are made anew in each pass, so rows that are cheap to make and too many to keep
+    needn't be a table: while the table of places is small they are counted where they are made and not shuffled."""
+    spans = written(_spans(rows), "spans")
     places = []
     for i, share in enumerate(shares.values()):
         place = _place(share, F.col("_n"))
         low = F.floor(place).cast("long")
         places.append(F.struct(F.lit(2 * i).alias("_j"), low.alias("_t")))
         places.append(F.struct(F.lit(2 * i + 1).alias("_j"), F.when(place > low, low + 1).alias("_t")))
-    spans = _spans(rows).select("*", F.explode(F.array(*places)).alias("_p")).select("_g", "_lo", "_hi", "_n", "_p.*").filter(F.col("_t").isNotNull())
-    found = _narrowed(rows, written(_begun(spans), "places"), gather)
+    wanted = spans.select("*", F.explode(F.array(*places)).alias("_p")).select("_g", "_lo", "_hi", "_n", "_p.*").filter(F.col("_t").isNotNull())
+    found = _narrowed(rows, written(_begun(wanted), "places"), gather)
     pick = lambda j, c: F.max(F.when(F.col("_j") == j, F.col(c)))
     made = []
     for i, (name, share) in enumerate(shares.items()):
         low, high, part = F.col(f"_l{i}"), F.col(f"_h{i}"), _place(share, F.col("_size")) - F.floor(_place(share, F.col("_size")))
         made.append(F.when(high.isNull() | (high == low), low).otherwise(low * (1 - part) + high * part).alias(name))
     ends = [pick(2 * i + side, "_v").alias(f"_{'lh'[side]}{i}") for i in range(len(shares)) for side in (0, 1)]
-    sizes = rows.groupBy(F.col("_g").alias("_of")).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = spans.select(F.col("_g").alias("_of"), F.col("_n").alias("_size"))
     return found.groupBy("_g").agg(*ends).join(sizes, F.col("_g") == F.col("_of")).select("_g", *made)
 
 
@@ -127,5 +134,7 @@ def with_quantiles(df: DataFrame, value: str, by: list[str], **shares: Share) ->
 
 def joined_quantiles(df: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
     """``df`` with the quantiles of each row's group; null where a group has no values."""
+    if not by:
+        return df.join(F.broadcast(found.drop("_g")), F.lit(True), "left")  # one row
     named = found.withColumnRenamed("_g", "_quantile_group")
     return df.join(named, _group(by) == F.col("_quantile_group"), "left").drop("_quantile_group")

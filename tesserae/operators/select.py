@@ -20,6 +20,14 @@ def expected_improvement(mean: Column, std: Column, best: Column, xi: float = 0.
     return F.when(std <= 1e-9, F.lit(0.0)).otherwise(gain * normal_cdf(z) + std * normal_pdf(z))
 
 
+def expected_improvement_gradient(mean: Column, std: Column, best: Column, mean_gradient: Column, std_gradient: Column, xi: float = 0.01, minimize: bool = False) -> Column:
+    """The gradient of the expected improvement by the input, from those of mean and deviation; 0 where the deviation is."""
+    gain = best - mean - xi if minimize else mean - best - xi
+    z = gain / std
+    by_mean, by_std = (-normal_cdf(z) if minimize else normal_cdf(z)), normal_pdf(z)
+    return F.zip_with(mean_gradient, std_gradient, lambda m, s: F.when(std <= 1e-9, F.lit(0.0)).otherwise(by_mean * m + by_std * s))
+
+
 def probability_improvement(mean: Column, std: Column, best: Column, xi: float = 0.01, minimize: bool = False) -> Column:
     gain = best - mean - xi if minimize else mean - best - xi
     return F.when(std <= 1e-9, (gain > 0).cast("double")).otherwise(normal_cdf(gain / std))
@@ -181,7 +189,8 @@ def within_budget(df: DataFrame, key: str, score: str, cost: str, budget: float,
 def latin_hypercube(df: DataFrame, key: str, columns: list[str], size: int, seed: int = 0) -> DataFrame:
     """Each of ``size`` slices of every column holds one design point; the candidate nearest to each point is picked.
 
-    The points (``size`` of them) go to the candidates, which reduce to the nearest per point in one aggregate.
+    The points (``size`` of them) go to the candidates, which reduce to the nearest per point in one aggregate. Where one
+    candidate is nearest to several points, fewer than ``size`` rows come back.
     """
     import random
 

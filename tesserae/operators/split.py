@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.operators.quantiles import with_quantiles
 from tesserae.runtime import written
 
 
@@ -25,10 +26,8 @@ def exact_split(df: DataFrame, key: str, train: float = 0.7, valid: float = 0.15
     The cut is a quantile of the hash, so only two numbers per stratum travel; rows stay where they are.
     """
     df = df.withColumn("_u", draw(F.col(key), seed))
-    group = [F.col(by).alias("_s")] if by else [F.lit(0).alias("_s")]
-    cuts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.percentile("_u", F.array(F.lit(train), F.lit(train + valid))).alias("_q"))
-    out = df.join(F.broadcast(cuts) if not by else cuts, (F.col(by) if by else F.lit(0)).eqNullSafe(F.col("_s")))
-    return out.withColumn("split", F.when(F.col("_u") <= F.col("_q")[0], "train").when(F.col("_u") <= F.col("_q")[1], "valid").otherwise("test")).drop("_u", "_s", "_n", "_q")
+    out = with_quantiles(df, "_u", [by] if by else [], _a=train, _b=min(1.0, train + valid))
+    return out.withColumn("split", F.when(F.col("_u") <= F.col("_a"), "train").when(F.col("_u") <= F.col("_b"), "valid").otherwise("test")).drop("_u", "_a", "_b")
 
 
 def temporal_split(df: DataFrame, time: str, train_end: str, valid_end: str) -> DataFrame:
@@ -67,10 +66,9 @@ def group_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
 
 def stratum(df: DataFrame, value: str, bins: int = 5) -> DataFrame:
     """``df`` with ``stratum``: which of equally filled ranges the value lies in."""
-    marks = F.array(*(F.lit(i / bins) for i in range(1, bins)))
-    cuts = df.agg(F.percentile(value, marks).alias("_cuts"))
-    at = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    return df.join(F.broadcast(cuts), how="inner").withColumn("stratum", F.when(F.col(value).isNotNull(), at.cast("long"))).drop("_cuts")
+    marks = {f"_cut{i}": i / bins for i in range(1, bins)}
+    at = sum((F.when(F.col(c) < F.col(value), 1).otherwise(0) for c in marks), F.lit(0))
+    return with_quantiles(df, value, [], **marks).withColumn("stratum", F.when(F.col(value).isNotNull(), at.cast("long"))).drop(*marks)
 
 
 def split_statistics(df: DataFrame, split: str, group: str, value: str) -> DataFrame:

@@ -124,7 +124,17 @@ def batch(spark, sf):
     return rounded(select.batch_sequential(_candidates(spark, sf), "id", "mean", "std", 15.0, 5))
 
 
-@register("diversity_max_min")
+def _farthest(size: int) -> str:
+    """SQL of farthest-point picks, one after the other."""
+    steps = ["p1 AS (SELECT id, v, NULL::DOUBLE AS d FROM x ORDER BY id LIMIT 1)", "m1 AS (SELECT x.id, x.v, list_distance(x.v, p1.v) AS d FROM x, p1 WHERE x.id <> p1.id)"]
+    for k in range(2, size + 1):
+        steps.append(f"p{k} AS (SELECT id, v, d FROM m{k - 1} ORDER BY d DESC, id LIMIT 1)")
+        steps.append(f"m{k} AS (SELECT m.id, m.v, least(m.d, list_distance(m.v, p.v)) AS d FROM m{k - 1} m, p{k} p WHERE m.id <> p.id)")
+    picks = " UNION ALL ".join(f"SELECT id, {k} AS pick, round(d, 6) AS distance FROM p{k}" for k in range(1, size + 1))
+    return f"WITH x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), {', '.join(steps)} {picks}"
+
+
+@register("diversity_max_min", _farthest(6))
 def max_min(spark, sf):
     return rounded(select.max_min(table(spark, sf, "embeddings"), "vec_id", "embedding", 6))
 
@@ -179,7 +189,9 @@ def pareto(spark, sf):
     return rounded(select.pareto_front(_candidates(spark, sf).select("id", "mean", "size"), "id", "mean", "size"))
 
 
-@register("portfolio_budget")
+@register("portfolio_budget", f"""WITH RECURSIVE {_C}, o AS (SELECT id, mean, cost, row_number() OVER (ORDER BY mean DESC, id) AS i FROM c),
+    f(i, spent, took) AS (SELECT 0::BIGINT, 0::DOUBLE, false UNION ALL SELECT o.i, CASE WHEN f.spent + o.cost <= 20000 THEN f.spent + o.cost ELSE f.spent END, f.spent + o.cost <= 20000 FROM f JOIN o ON o.i = f.i + 1)
+    SELECT id, round(mean, 6) AS mean, round(cost, 6) AS cost, row_number() OVER (ORDER BY i) AS pick FROM f JOIN o USING (i) WHERE took""")
 def budget(spark, sf):
     return rounded(select.within_budget(_candidates(spark, sf), "id", "mean", "cost", 20_000.0, 2000).select("id", "mean", "cost", "pick"))
 
@@ -210,7 +222,7 @@ def matched_pairs(spark, sf):
 
 @register("matched_pair_statistics", f"WITH {_T}, {_MMP} SELECT transform, count(change) AS n_pairs, round(avg(change), 4) AS mean_change, round(stddev_samp(change), 4) AS std_change, round(median(change), 4) AS median_change, round(min(change), 4) AS min_change, round(max(change), 4) AS max_change, round(avg(change) / nullif(stddev_samp(change), 0), 4) AS effect_size FROM m GROUP BY 1 HAVING count(*) >= 3")
 def transformations(spark, sf):
-    return rounded(pairs.transformations(pairs.matched_pairs(_fragments(spark, sf), "id", "core", "part", "v")).drop("p_value", "significant"), 4)
+    return rounded(pairs.statistics(_fragments(spark, sf), "id", "core", "part", "v"), 4)
 
 
 @register("matched_pair_classes", f"""WITH {_T}, {_MMP} SELECT transform, count(change) AS n_pairs, round(avg(change), 4) AS mean_change, round(stddev_samp(change), 4) AS std_change, round(min(change), 4) AS min_change, round(max(change), 4) AS max_change, round(avg(change) / nullif(stddev_samp(change), 0), 4) AS effect_size
@@ -227,12 +239,12 @@ def top_pairs(spark, sf):
 
 @register("matched_pair_cliffs", f"WITH {_T}, {_MMP} SELECT core, a, b, transform, round(change, 4) AS change FROM m WHERE abs(change) >= 90")
 def cliff_pairs(spark, sf):
-    return rounded(pairs.pair_cliffs(pairs.matched_pairs(_fragments(spark, sf), "id", "core", "part", "v"), 90), 4)
+    return rounded(pairs.cliffs_of(_fragments(spark, sf), "id", "core", "part", "v", 90), 4)
 
 
 @register("matched_pair_tests")
 def pair_tests(spark, sf):
-    return rounded(pairs.transformations(pairs.matched_pairs(_fragments(spark, sf), "id", "core", "part", "v")).select("transform", "n_pairs", "p_value", "significant", pairs.transform_type(F.col("transform")).alias("kind")))
+    return rounded(pairs.tested(pairs.paired_statistics(_fragments(spark, sf), "core", "part", "v")).select("transform", "n_pairs", "p_value", "significant", pairs.transform_type(F.col("transform")).alias("kind")))
 
 
 @register("free_wilson")

@@ -56,12 +56,23 @@ def kendall_continuous(spark, sf):
     return rounded(concordance.kendall(t, "y", "p"))
 
 
-@register("metrics_kendall_prices")
+@register("metrics_kendall_prices", f"""WITH {_P}, c AS (SELECT y, p, count(*)::DOUBLE AS n FROM t GROUP BY ALL), k AS (SELECT p, y, sum(n) OVER (PARTITION BY p ORDER BY y) AS upto FROM c), m AS (SELECT p, sum(n) AS n FROM c GROUP BY 1),
+    g AS (SELECT c.y, c.n, m.p AS q, m.n AS all_q FROM c JOIN m ON m.p < c.p), l AS (SELECT g.*, coalesce(k.upto, 0) AS below FROM g ASOF LEFT JOIN k ON g.q = k.p AND g.y > k.y),
+    e AS (SELECT l.*, coalesce(k.upto, 0) AS reach FROM l ASOF LEFT JOIN k ON l.q = k.p AND l.y >= k.y), s AS (SELECT sum(n * (below - (all_q - reach))) AS s FROM e), a AS (SELECT sum(n) AS n FROM c),
+    ty AS (SELECT sum(x * (x - 1) / 2) AS t FROM (SELECT sum(n) AS x FROM c GROUP BY y)), tp AS (SELECT sum(x * (x - 1) / 2) AS t FROM (SELECT sum(n) AS x FROM c GROUP BY p))
+    SELECT round(s / nullif(sqrt((n * (n - 1) / 2 - ty.t) * (n * (n - 1) / 2 - tp.t)), 0), 6) AS kendall FROM s, a, ty, tp""")
 def kendall_prices(spark, sf):
-    """Prices of all order lines against the rough prediction of them; too many pairs for SQL, brute force is in the tests."""
+    """Prices of all order lines against the rough prediction of them."""
     return rounded(concordance.kendall(_predictions(spark, sf), "y", "p"))
 
 
+@register("significance_bootstrap_models")
+def bootstrap_models(spark, sf):
+    """The rough prediction of prices against their mean, in the same draws."""
+    t = _predictions(spark, sf).withColumns({"k": F.concat_ws("-", "l_orderkey", "l_linenumber"), "q": F.lit(38.0)})
+    return rounded(significance.bootstrap_comparison(t, "k", "y", "p", "q", times=200), 4)
+
+
 def _scored(spark, sf):
     return table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id").select("doc_id", F.col("quality").alias("y"), (F.col("n_chars") / 20000.0).alias("s"), (F.col("n_chars") > 500).cast("int").alias("p"), F.col("toxic").alias("y2"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tesserae.operators import bioisosteres, campaign, clusters, domains, dose, models, surrogate, uncertainty
+from tesserae.operators import bioisosteres, campaign, clusters, domains, dose, inducing, models, surrogate, uncertainty
 from tesserae.plans import register
 from tesserae.plans._common import bits, rounded
 from tesserae.runtime import table
@@ -154,6 +154,22 @@ def select_next(spark, sf):
     return rounded(surrogate.BayesianOptimizer("vec_id", "v", "activity").fit(rows.filter("vec_id % 10 = 1")).select_next(rows, 5), 4)
 
 
+@register("surrogate_inducing")
+def surrogate_inducing(spark, sf):
+    """Nine of ten rows are observations, all rows are scored."""
+    rows = bits(spark, sf).select("vec_id", F.col("embedding").alias("v"), "activity")
+    model = inducing.fit(rows.filter("vec_id % 10 <> 1"), "vec_id", "v", "activity", points=128, tuned=200)
+    return rounded(surrogate.predict(model, rows, "v").drop("v"), 4)
+
+
+@register("surrogate_multi")
+def surrogate_multi(spark, sf):
+    """Two values at once: the first direction high, the second low."""
+    rows = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 3, 8).alias("v"), F.element_at("embedding", 1).cast("double").alias("up"), F.element_at("embedding", 2).cast("double").alias("down"))
+    loop = inducing.MultiObjective("vec_id", "v", {"up": "maximize", "down": "minimize"}, points=64).fit(rows.filter("vec_id % 4 = 0"))
+    return rounded(loop.select_next(rows, 10), 4)
+
+
 @register("surrogate_campaign")
 def surrogate_campaign(spark, sf):
     rows = _observations(spark, sf)
