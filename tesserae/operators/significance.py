@@ -64,7 +64,7 @@ def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
     d = df.select((F.col(a) - F.col(b)).alias("_d")).filter("_d <> 0").withColumn("_abs", F.abs("_d"))
     ranked = average_ranks(d, "_abs", "_r")
     sums = ranked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("_d") > 0, F.col("_r"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(F.col("_d") < 0, F.col("_r"))), F.lit(0.0)).alias("w_minus"))
-    n, w = F.col("n"), F.least("w_plus", "w_minus")
+    n, w = F.col("n").cast("double"), F.least("w_plus", "w_minus")  # n cubed leaves the longs beyond 1.6 million rows
     z = ratio(w - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24))
     return sums.select("n", w.alias("statistic"), z.alias("z"), F.least(F.lit(1.0), 2 * normal_cdf(-F.abs(z))).alias("p_value"))
 
