@@ -2,19 +2,28 @@
 
 The threshold join is exact and has no pair-of-everything step: bits are ordered from rare to common, and two sets can
 only reach a Tanimoto of t if they share one of their first n - ceil(t n) + 1 bits; those are joined by bit, sizes bound
-the rest, and what is left is verified on the full sets.
+the rest, and what is left is verified on the full sets. Where the sets have few different bits and all are frequent (as the
+places of positive values of a vector), prefixes rule nothing out; such sets are compared in blocks, as products of 0/1 matrices.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions import sali, tanimoto_bits
+from tesserae.operators import blocks
 from tesserae.operators.neighbours import BLOCK, nearest
 from tesserae.operators.quantiles import quantiles
 from tesserae.runtime import written
 
+#: Different bits that sets may have to be compared as matrices.
+WIDE = 4096
+
 
 def similar_pairs(df: DataFrame, key: str, bits: str, threshold: float) -> DataFrame:
     """(a, b, similarity) of all pairs a < b of rows with Tanimoto >= ``threshold``; empty sets are similar to nothing."""
@@ -27,9 +36,11 @@ def similar_to(queries: DataFrame, df: DataFrame, key: str, bits: str, threshold
 
 
 def _joined(left: DataFrame, right: DataFrame, key: str, bits: str, t: float, within: bool) -> DataFrame:
-    a, b = (x.select(F.col(key).alias("k"), F.array_distinct(F.col(bits)).alias("s")).filter(F.size("s") > 0) for x in (left, right))
+    a, b = (x.select(F.col(key).alias("k"), F.array_compact(F.array_distinct(F.col(bits))).alias("s")).filter(F.size("s") > 0) for x in (left, right))
     seen = a if within else a.unionByName(b)
     rare = written(seen.select(F.explode("s").alias("bit")).groupBy("bit").agg(F.count(F.lit(1)).alias("f")), "bit-counts")
+    n_a = a.count()
+    n_b = n_a if within else b.count()
 
     def prefixed(x: DataFrame) -> DataFrame:
         ranked = x.select("k", F.explode("s").alias("bit")).join(rare, "bit").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("f", "bit"))).alias("o"))
@@ -37,14 +48,82 @@ def _joined(left: DataFrame, right: DataFrame, key: str, bits: str, t: float, wi
         keep = n - F.ceil(F.lit(t) * n - 1e-9).cast("int") + 1
         return ranked.select("k", F.transform("o", lambda y: y["bit"]).alias("s"), F.slice("o", 1, keep).alias("o")).select("k", "s", F.size("s").alias("n"), F.explode("o").alias("o")).select("k", "s", "n", "o.bit")
 
-    pa = written(prefixed(a), "prefix")
-    pb = pa if within else written(prefixed(b), "prefix")
-    one, two = pa.select(F.col("k").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na"), "bit"), pb.select(F.col("k").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"), "bit")
+    known = [r["bit"] for r in rare.select("bit").limit(WIDE + 1).collect()]
+    if t > 0 and len(known) <= WIDE:
+        # what the prefixes would let through, at a thousand times the price of a pair in a matrix product
+        first = F.ceil(F.size("s") * (1 - t)) + 1
+        share = seen.agg(F.avg(F.least(first, F.size("s")) / F.lit(max(len(known), 1)))).first()[0] or 0.0
+        if share * share * len(known) * 1000 * 64 > max(64, len(known)):
+            return _multiplied(a, n_a, b, n_b, known, t, within)
+    left_bits = written(prefixed(a), "prefix")
+    right_bits = left_bits if within else written(prefixed(b), "prefix")
+    one, two = left_bits.select(F.col("k").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na"), "bit"), right_bits.select(F.col("k").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"), "bit")
     met = one.join(two, "bit").filter((F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9) & (F.col("a") < F.col("b") if within else F.lit(True)))
     scored = met.select("a", "b", tanimoto_bits(F.col("sa"), F.col("sb")).alias("similarity")).filter(F.col("similarity") >= t)
     return scored.distinct()
 
 
+def _multiplied(a: DataFrame, n_a: int, b: DataFrame, n_b: int, known: list, t: float, within: bool) -> DataFrame:
+    """The join of sets of few different bits, all of them frequent: blocks of sets as 0/1 matrices, common bits as their product."""
+    kind = a.schema["k"].dataType.simpleString()
+    place = {bit: i for i, bit in enumerate(known)}
+    width = -(-len(known) // 8)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                sets = part.column(1)
+                if isinstance(sets, pa.LargeListArray):
+                    sets = sets.cast(pa.list_(sets.type.value_type))
+                flat, row = sets.flatten().to_pylist(), np.repeat(np.arange(len(sets)), sets.value_lengths().to_numpy(zero_copy_only=False))
+                marks = np.zeros((len(sets), width * 8), np.uint8)
+                marks[row, [place[x] for x in flat]] = 1
+                packed = np.packbits(marks, axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([p.tobytes() for p in packed], pa.binary())], names=["k", "p"])
+
+    def matrix(rows: pa.StructArray) -> tuple[pa.Array, np.ndarray]:
+        data = np.frombuffer(b"".join(rows.field("p").to_pylist()), np.uint8).reshape(len(rows), width)
+        return rows.field("k"), data
+
+    bound = t / (1 + t)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (ka, xa), (kb, xb) = matrix(batch.column("_a")[i].values), matrix(batch.column("_b")[i].values)
+                same = batch.column("_same")[i].as_py()
+                for low in range(0, len(xb), 4096):
+                    y = np.unpackbits(xb[low : low + 4096], axis=1).astype(np.float32)
+                    n_y = y.sum(1)
+                    # common bits less what a pair of these sizes needs, as one product
+                    right = np.column_stack([y, np.ones_like(n_y), -bound * n_y]).T
+                    for at in range(0, len(xa), 1024):
+                        x = np.unpackbits(xa[at : at + 1024], axis=1).astype(np.float32)
+                        n_x = x.sum(1)
+                        spare = np.column_stack([x, -bound * n_x, np.ones_like(n_x)]) @ right
+                        r, c = np.nonzero(spare >= -0.02)
+                        if same:
+                            ahead = r + at < c + low
+                            r, c = r[ahead], c[ahead]
+                        size = n_x[r].astype(np.float64) + n_y[c]
+                        common = np.rint(spare[r, c] + bound * size)
+                        score = common / (size - common)
+                        r, c, score = (v[score >= t] for v in (r, c, score))
+                        yield pa.RecordBatch.from_arrays([ka.take(pa.array(r + at)), kb.take(pa.array(c + low)), pa.array(score)], names=["a", "b", "similarity"])
+
+    def blocked(x: DataFrame, n: int, name: str) -> tuple[DataFrame, int]:
+        parts = blocks.count(n, width + 16)
+        return written(blocks.dealt(x.mapInArrow(pack, f"k {kind}, p binary"), "k", parts, name), "bit-blocks"), parts
+
+    one, parts_a = blocked(a, n_a, "_a")
+    two, parts_b = (one.withColumnRenamed("_a", "_b"), parts_a) if within else blocked(b, n_b, "_b")
+    found = blocks.paired(one, parts_a, two, parts_b, within).mapInArrow(compare, f"a {kind}, b {kind}, similarity double")
+    if within:
+        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").filter("a < b")
+    return written(found, "multiplied").distinct()
+
+
 def activity_cliffs(df: DataFrame, key: str, bits: str, activity: str, similarity: float = 0.7, change: float = 1.0) -> DataFrame:
     """Similar pairs whose activities differ by ``change`` or more, with their landscape index."""
     pairs = similar_pairs(df, key, bits, similarity)

@@ -1,8 +1,10 @@
 """Cases that larger tables brought up."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import significance
+from tesserae.operators import blocks, significance, similarity
 
 
 def test_wilcoxon_of_many_rows(spark):
@@ -10,3 +12,24 @@ def test_wilcoxon_of_many_rows(spark):
     found = significance.wilcoxon(spark.range(n).select((F.col("id") % 5 + 1).cast("double").alias("a"), F.lit(0.0).alias("b")), "a", "b").first()
     assert found["n"] == n and found["statistic"] == 0 and found["p_value"] == 0
     assert abs(found["z"] + (n * (n + 1) / 4) / (n * (n + 1) * (2 * n + 1) / 24) ** 0.5) < 1e-6
+
+
+def test_dense_sets_meet_in_blocks(spark, monkeypatch):
+    """Sets of frequent bits don't meet by prefixes: no table of prefixes is made, and blocks lose and double nothing."""
+    monkeypatch.setattr(blocks, "LEAST", 100)
+    monkeypatch.setattr(blocks, "GROUPS", 7)
+    monkeypatch.setattr(similarity, "written", lambda df, name, f=similarity.written: pytest.fail("prefixes") if name == "prefix" else f(df, name))
+    marks = np.random.default_rng(4).random((700, 30)) < 0.5
+    marks[600:] = marks[:100]
+    marks[5] = False
+    df = spark.createDataFrame([(i, [*map(int, np.flatnonzero(m)), None]) for i, m in enumerate(marks)], "k long, s array<int>")
+    x = marks.astype(float)
+    common = x @ x.T
+    with np.errstate(invalid="ignore"):
+        score = common / (x.sum(1)[:, None] + x.sum(1)[None] - common)
+    near = np.nan_to_num(score, nan=-1.0) >= 0.6
+    found = similarity.similar_pairs(df, "k", "s", 0.6).collect()
+    assert sorted((r.a, r.b) for r in found) == [(int(a), int(b)) for a, b in np.argwhere(np.triu(near, 1))]
+    assert all(r.similarity == score[r.a, r.b] for r in found)
+    across = similarity.similar_to(df.filter("k % 5 = 0"), df.filter("k % 5 <> 0"), "k", "s", 0.6).collect()
+    assert sorted((r.a, r.b) for r in across) == [(int(a), int(b)) for a, b in np.argwhere(near) if a % 5 == 0 and b % 5 != 0]
