@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import blocks, significance, similarity
+from tesserae.operators import blocks, inducing, significance, similarity, surrogate
 
 
 def test_wilcoxon_of_many_rows(spark):
@@ -33,3 +33,16 @@ def test_dense_sets_meet_in_blocks(spark, monkeypatch):
     assert all(r.similarity == score[r.a, r.b] for r in found)
     across = similarity.similar_to(df.filter("k % 5 = 0"), df.filter("k % 5 <> 0"), "k", "s", 0.6).collect()
     assert sorted((r.a, r.b) for r in across) == [(int(a), int(b)) for a, b in np.argwhere(near) if a % 5 == 0 and b % 5 != 0]
+
+
+def test_more_observations_than_an_exact_process_takes(spark, monkeypatch):
+    monkeypatch.setattr(surrogate, "MOST", 120)
+    x = np.random.default_rng(1).uniform(-2, 2, (600, 2))
+    y = np.sin(x[:, 0]) + 0.5 * x[:, 1]
+    rows = spark.createDataFrame([(i, list(map(float, v)), float(w)) for i, (v, w) in enumerate(zip(x, y, strict=True))], "id long, v array<double>, y double").repartition(3)
+    model = surrogate.fit(rows.filter("id % 2 = 0"), "v", "y", restarts=0)
+    assert isinstance(model, inducing.Inducing)
+    found = surrogate.predict(model, rows.filter("id % 2 = 1"), "v").collect()
+    assert len(found) == 300 and max(abs(r["mean"] - r["y"]) for r in found) < 0.2
+    optimizer = surrogate.BayesianOptimizer("id", "v", "y").fit(rows.filter("id % 2 = 0"))
+    assert [r["round"] for r in surrogate.rounds(optimizer, rows, rows, 2, 2).collect()] == [1, 1, 2, 2]
