@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import blocks, inducing, significance, similarity, surrogate
+from tesserae.operators import blocks, inducing, neighbours, significance, similarity, surrogate
 
 
 def test_wilcoxon_of_many_rows(spark):
@@ -46,3 +46,21 @@ def test_more_observations_than_an_exact_process_takes(spark, monkeypatch):
     assert len(found) == 300 and max(abs(r["mean"] - r["y"]) for r in found) < 0.2
     optimizer = surrogate.BayesianOptimizer("id", "v", "y").fit(rows.filter("id % 2 = 0"))
     assert [r["round"] for r in surrogate.rounds(optimizer, rows, rows, 2, 2).collect()] == [1, 1, 2, 2]
+
+
+def test_neighbours_of_alike_distances_are_swept(spark, monkeypatch):
+    """Vectors that no bound rules out are compared in few large blocks; floats travel as floats and ties go to the least key."""
+    monkeypatch.setattr(blocks, "LEAST", 150)
+    monkeypatch.setattr(blocks, "GROUPS", 4)
+    ran = []
+    monkeypatch.setattr(neighbours, "_swept", lambda *a, f=neighbours._swept: ran.append(a) or f(*a))
+    x = np.random.default_rng(3).normal(size=(900, 32)).astype(np.float32)
+    x[800:] = x[:100]
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "k long, v array<float>").repartition(3)
+    got = neighbours.nearest(df.filter("k % 3 = 0"), df, "k", "v", 4, block=100).collect()
+    assert len(ran) == 1
+    d = np.sqrt(((x[:, None].astype(float) - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    want = {(q, r + 1): (int(n), d[q, n]) for q in range(0, 900, 3) for r, n in enumerate(np.lexsort((np.arange(900), d[q]))[:4])}
+    assert {(r["query"], r["rank"]): r["neighbour"] for r in got} == {at: n for at, (n, _) in want.items()}
+    assert all(abs(r["distance"] - want[r["query"], r["rank"]][1]) < 1e-9 for r in got)
