@@ -1,10 +1,11 @@
 """Cases that larger tables brought up."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import blocks, inducing, neighbours, significance, similarity, surrogate
+from tesserae.operators import blocks, inducing, neighbours, pairs, significance, similarity, surrogate
 
 
 def test_wilcoxon_of_many_rows(spark):
@@ -64,3 +65,32 @@ def test_neighbours_of_alike_distances_are_swept(spark, monkeypatch):
     want = {(q, r + 1): (int(n), d[q, n]) for q in range(0, 900, 3) for r, n in enumerate(np.lexsort((np.arange(900), d[q]))[:4])}
     assert {(r["query"], r["rank"]): r["neighbour"] for r in got} == {at: n for at, (n, _) in want.items()}
     assert all(abs(r["distance"] - want[r["query"], r["rank"]][1]) < 1e-9 for r in got)
+
+
+@pytest.mark.parametrize("held", [1 << 21, 5])
+def test_medians_of_pairs_without_pairs(spark, monkeypatch, held):
+    """Ties, repeated values and narrowing give the median of all pairs; transforms of larger classes are counted in ranges."""
+    monkeypatch.setattr(pairs, "HELD", held)
+    r = np.random.default_rng(2)
+    rows = [(i, f"c{i % 3}", "pqr"[int(r.integers(3))], float(r.integers(0, 40) / 10 if i % 2 else r.normal())) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, core string, part string, v double")
+    want = {}
+    for _, c, p, v in rows:
+        for _, d, q, w in rows:
+            if c == d and p < q:
+                want.setdefault(f"{p}>>{q}", []).append(w - v)
+    got = {r["transform"]: r["median_change"] for r in pairs.statistics(df, "id", "core", "part", "v").collect()}
+    assert got == pytest.approx({k: float(np.median(v)) for k, v in want.items()}, abs=1e-12)
+
+
+def test_middle_of_many_differences(monkeypatch):
+    monkeypatch.setattr(pairs, "LISTED", 50)
+    r = np.random.default_rng(5)
+    for made in (lambda n: r.integers(0, 30, n) / 10, lambda n: r.normal(size=n)):
+        classes = []
+        for n, m in ((60, 41), (33, 80), (1, 7)):
+            (a, wa), (b, wb) = (np.unique(made(k), return_counts=True) for k in (n, m))
+            classes.append(("p>>q", a, wa, b, wb))
+        every = np.concatenate([(np.repeat(b, wb)[None] - np.repeat(a, wa)[:, None]).ravel() for _, a, wa, b, wb in classes])
+        found = pairs._middle(pd.DataFrame(classes, columns=["transform", "va", "wa", "vb", "wb"]))
+        assert found["median_change"][0] == pytest.approx(np.median(every), abs=1e-12)
