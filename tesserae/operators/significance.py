@@ -95,15 +95,19 @@ def permutation(df: DataFrame, key: str, a: str, b: str, times: int = 1000, seed
     return means.join(F.broadcast(observed), how="inner").groupBy("observed").agg(F.avg((F.abs("_m") >= F.abs("observed")).cast("double")).alias("p_value"))
 
 
-def _poisson(key: str, seed: int) -> Column:
-    """How often a row is drawn in repeat _rep: Poisson(1) by a hash."""
-    u = F.pmod(F.xxhash64(F.lit(seed), "_rep", key), F.lit(1 << 30)) / float(1 << 30)
+def _drawn(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """``df`` with ``_w``, how often a row is drawn in repeat _rep: Poisson(1) by a hash, which is taken once a row and repeat."""
     bounds, total, term = [], 0.0, math.exp(-1)
     for k in range(12):
         total += term
-        bounds.append(total)
+        bounds.append(math.ceil(total * (1 << 30)))
         term /= k + 1
-    return sum((F.when(u >= t, 1).otherwise(0) for t in bounds), F.lit(0))
+    u = F.col("_u")
+    times = F.when(u < bounds[0], 0)
+    for k, bound in enumerate(bounds[1:], 1):
+        times = times.when(u < bound, k)
+    hashed = df.withColumn("_u", F.pmod(F.xxhash64(F.lit(seed), "_rep", key), F.lit(1 << 30)))
+    return hashed.withColumn("_w", times.otherwise(len(bounds))).drop("_u")
 
 
 def bootstrap_comparison(df: DataFrame, key: str, y: str, a: str, b: str, metric: str = "mse", times: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
@@ -112,8 +116,10 @@ def bootstrap_comparison(df: DataFrame, key: str, y: str, a: str, b: str, metric
     error = {"mse": lambda p: (F.col(y) - p) * (F.col(y) - p), "rmse": lambda p: (F.col(y) - p) * (F.col(y) - p), "mae": lambda p: F.abs(F.col(y) - p)}[metric]
     end = F.sqrt if metric == "rmse" else lambda x: x
     rows = df.filter(F.col(y).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull()).select(key, error(F.col(a)).alias("_a"), error(F.col(b)).alias("_b"))
-    drawn = _repeats(rows, times).withColumn("_w", _poisson(key, seed)).filter("_w > 0")
-    each = drawn.groupBy("_rep").agg(*(end(F.sum(F.col("_w") * F.col(c)) / F.sum("_w")).alias(c) for c in ("_a", "_b"))).withColumn("_d", F.col("_a") - F.col("_b"))
+    # no filter on the draw, which would be pushed below it and draw twice
+    sums = [F.sum(F.when(F.col("_w") > 0, F.col("_w") * F.col(c))).alias(c) for c in ("_a", "_b")]
+    each = _drawn(_repeats(rows, times), key, seed).groupBy("_rep").agg(*sums, F.sum("_w").alias("_n")).filter("_n > 0")
+    each = each.select(*(end(F.col(c) / F.col("_n")).alias(c) for c in ("_a", "_b"))).withColumn("_d", F.col("_a") - F.col("_b"))
     tail = (1 - level) / 2
     found = each.agg(  # a row per repeat
         F.avg("_a").alias("metric_a"), F.avg("_b").alias("metric_b"), F.avg("_d").alias("difference"), F.percentile("_d", tail).alias("low"),
@@ -124,7 +130,7 @@ def bootstrap_comparison(df: DataFrame, key: str, y: str, a: str, b: str, metric
 
 def bootstrap(df: DataFrame, key: str, value: str, times: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
     """Percentile interval of a mean by the Poisson bootstrap: each row's count in a repeat is a hash-drawn Poisson(1)."""
-    drawn = _repeats(df.filter(F.col(value).isNotNull()).select(key, value), times).withColumn("_w", _poisson(key, seed))
+    drawn = _drawn(_repeats(df.filter(F.col(value).isNotNull()).select(key, value), times), key, seed)
     means = drawn.groupBy("_rep").agg(ratio(F.sum(F.col("_w") * F.col(value)), F.sum("_w").cast("double")).alias("_m"))
     tail = (1 - level) / 2
     return means.agg(F.avg("_m").alias("mean"), F.percentile("_m", tail).alias("low"), F.percentile("_m", 1 - tail).alias("high"))
