@@ -1,10 +1,13 @@
 """Cases that larger tables brought up in round three's second reading."""
 
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import blocks, ward
+from tesserae.operators import blocks, concordance, dose, select, significance, ward
 from tests.test_networks import dendrogram
 
 
@@ -21,3 +24,62 @@ def test_ward_of_copies_and_alike_distances_takes_few_rounds(spark, monkeypatch)
     found = ward.merges(spark.createDataFrame(list(points.items()), "id long, v array<double>").repartition(3), "id", "v", finish=12)
     assert sorted((r["a"], r["b"], round(r["cost"], 9), r["size"]) for r in found.collect()) == sorted(dendrogram(points))
     assert 0 < len(rounds) < 12
+
+
+def _plan(df, part="executedPlan"):
+    return getattr(df._jdf.queryExecution(), part)().toString()
+
+
+def test_dose_points_are_summed_by_dose_before_the_fit(spark):
+    r = np.random.default_rng(1)
+    x = r.choice([0.1, 1.0, 3.0, 10.0, 100.0], 900)
+    y = dose.curve(x, np.array([5.0, 90.0, 4.0, -1.5])) + r.normal(size=900)
+    df = spark.createDataFrame([("c", float(a), float(b)) for a, b in zip(x, y, strict=True)] + [("d", 1.0, 2.0)] * 3, "c string, x double, y double").repartition(4)
+    fits = dose.fit(df, "c", "x", "y")
+    assert _plan(fits, "optimizedPlan").count("Aggregate [") == 1
+    got = {r["c"]: r for r in fits.collect()}
+    want = dose.fitted(x, y)
+    assert all(got["c"][k] == pytest.approx(v, rel=1e-4) for k, v in want.items()) and got["c"]["n"] == 900
+    assert got["d"]["ic50"] is None and got["d"]["n"] == 3
+
+
+def test_hypercube_sorts_no_candidates(spark):
+    x = np.random.default_rng(2).integers(0, 9, (200, 2)).astype(float)
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, a double, b double").repartition(3)
+    found = select.latin_hypercube(df, "id", ["a", "b"], 15, 4)
+    assert "SortAggregate" not in _plan(found)
+    draw = random.Random(4)
+    grids = [[(i + draw.random()) / 15 for i in draw.sample(range(15), 15)] for _ in "ab"]
+    scaled = (x - x.min(0)) / (x.max(0) - x.min(0))
+    assert {r["id"] for r in found.collect()} == {int(((scaled - p) ** 2).sum(1).argmin()) for p in zip(*grids, strict=True)}
+
+
+def test_bootstrap_hashes_a_row_and_repeat_once(spark):
+    df = spark.createDataFrame([(i, float(i), i + 1.0, i + 2.0) for i in range(50)], "k long, y double, a double, b double")
+    times = significance._drawn(significance._repeats(df.select("k"), 3), "k", 0)
+    each = {(r["k"], r["_rep"]): r["_w"] for r in times.collect()}
+    u = {(r["k"], r["_rep"]): r["u"] for r in significance._repeats(df.select("k"), 3).select("k", "_rep", (F.pmod(F.xxhash64(F.lit(0), "_rep", "k"), F.lit(1 << 30)) / float(1 << 30)).alias("u")).collect()}
+    shares = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    assert each == {k: int((v >= shares).sum()) for k, v in u.items()}
+    found = significance.bootstrap_comparison(df, "k", "y", "a", "b", times=30)
+    assert _plan(found, "optimizedPlan").count("xxhash64") == 1
+    row = found.first()
+    assert row["metric_a"] == pytest.approx(1.0) and row["metric_b"] == pytest.approx(4.0) and row["significant"]
+
+
+def test_kendall_ranges_by_search(spark, monkeypatch):
+    monkeypatch.setattr(concordance, "RANGE", 40)
+    plans = {}
+    monkeypatch.setattr(concordance, "written", lambda df, name, f=concordance.written: (plans.update({name: _plan(df, "optimizedPlan")}), f(df, name))[1])
+    x, y = np.random.default_rng(3).integers(0, 25, (2, 600))
+    found = concordance.kendall(spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "a double, b double"), "a", "b").first()[0]
+    score = np.sign(x[:, None] - x) * np.sign(y[:, None] - y)
+    assert found == pytest.approx(score.sum() / np.sqrt((np.sign(x[:, None] - x) ** 2).sum() * (np.sign(y[:, None] - y) ** 2).sum()), abs=1e-12)
+    assert "lambda" not in plans["ranges"]
+
+
+def test_inversions_equal_all_pairs():
+    r = np.random.default_rng(6)
+    for n in (1, 2, 37, 300):
+        a, b, w = r.integers(0, n, n), r.integers(0, n // 2 + 1, n), r.integers(1, 4, n)
+        assert concordance.inversions(a, b, w) == (w[:, None] * w * ((a[:, None] < a) & (b[:, None] > b))).sum()
