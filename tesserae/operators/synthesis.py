@@ -66,6 +66,22 @@ def _combined(lists: Column, cost: Column, product: Column, reaction: Column, k:
     return F.aggregate(lists, start, add)
 
 
+def _worth(each: DataFrame, now: DataFrame, shelf: DataFrame, k: int) -> DataFrame:
+    """(reaction): those that can give one of the k cheapest derivations of their product, found from prices alone, so that steps
+    travel only for them. k reactions of which no choice comes back to the product, or the purchase, bound the k-th price."""
+    options = now.select(F.col("item").alias("_item"), F.get("_best", F.lit(0))["price"].alias("_p"), F.array_distinct(F.flatten(F.transform("_best", lambda o: F.transform(o["steps"], lambda s: s["product"])))).alias("_through"))
+    met = each.join(options, "_item").select("reaction", "product", "_need", "cost", "_p", F.array_contains("_through", F.col("product")).alias("_back"))
+    paid = met.groupBy("reaction", "product", "_need", "cost").agg(F.sum("_p").alias("_sum"), F.count(F.lit(1)).alias("_have"), F.max("_back").alias("_back"))
+    offers = paid.filter("_have = _need").select("reaction", F.col("product").alias("item"), (F.col("cost") + F.col("_sum")).alias("_p"), "_back")
+    offers = written(offers, "offers")
+    sure = offers.filter("NOT _back").select("item", "_p").unionByName(shelf.select("item", F.get("_best", F.lit(0))["price"].alias("_p")))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("_p"))
+    bound = sure.withColumn("_r", rank).filter(F.col("_r") <= k).groupBy("item").agg(F.max("_p").alias("_bound"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == k)
+    # prices added in another order may differ by rounding
+    near = F.col("_bound").isNull() | (F.col("_p") <= F.col("_bound") + 1e-9 * (1 + F.abs("_bound")))
+    return offers.join(bound, "item", "left").filter(near).select("reaction")
+
+
 def routes(reactions: DataFrame, stock: DataFrame, k: int = 5, max_depth: int = 10) -> DataFrame:
     """(item, rank, price, depth, n_steps, steps): the k cheapest derivations of every item, the purchase among them (no steps);
     steps are (reaction, product), the last one first."""
@@ -75,10 +91,11 @@ def routes(reactions: DataFrame, stock: DataFrame, k: int = 5, max_depth: int =
     option = f"array<struct<price:double,steps:array<{step}>,depth:int>>"
     bought = stock.filter(F.col("item").isNotNull() & F.col("price").isNotNull()).groupBy("item").agg(F.min(F.col("price").cast("double")).alias("_p"))
     shelf = written(bought.select("item", F.array(F.struct(F.col("_p").alias("price"), F.array().cast(f"array<{step}>").alias("steps"), F.lit(0).alias("depth"))).cast(option).alias("_best")), "shelf")
-    each = written(made.select("reaction", F.posexplode("reactants").alias("_i", "_item")), "reactants")
+    each = written(made.select("reaction", "product", F.size("reactants").alias("_need"), "cost", F.posexplode("reactants").alias("_i", "_item")), "reactants")
     now = shelf
     for _ in range(max_depth):
-        known = each.join(now.select(F.col("item").alias("_item"), "_best"), "_item").groupBy("reaction").agg(F.collect_list(F.struct("_i", "_best")).alias("_lists"))  # as many as a reaction has reactants
+        some = each.join(_worth(each, now, shelf, k), "reaction", "left_semi").select("reaction", "_i", "_item")
+        known = some.join(now.select(F.col("item").alias("_item"), "_best"), "_item").groupBy("reaction").agg(F.collect_list(F.struct("_i", "_best")).alias("_lists"))  # as many as a reaction has reactants
         met = known.join(made, "reaction").filter(F.size("_lists") == F.size("reactants"))
         lists = F.transform(F.array_sort("_lists"), lambda x: x["_best"])
         combos = met.select(F.col("product").alias("item"), F.explode(_combined(lists, F.col("cost"), F.col("product"), F.col("reaction"), k, step)).alias("_o"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import blocks, concordance, dose, select, significance, ward
+from tesserae.operators import blocks, concordance, dose, select, significance, synthesis, ward
 from tests.test_networks import dendrogram
 
 
@@ -83,3 +83,17 @@ def test_inversions_equal_all_pairs():
     for n in (1, 2, 37, 300):
         a, b, w = r.integers(0, n, n), r.integers(0, n // 2 + 1, n), r.integers(1, 4, n)
         assert concordance.inversions(a, b, w) == (w[:, None] * w * ((a[:, None] < a) & (b[:, None] > b))).sum()
+
+
+def test_steps_travel_only_for_reactions_that_can_be_among_the_best(spark):
+    """Many dear reactions of one product; the reaction that comes back to it bounds nothing."""
+    rows = [(i, 1, [2], 10.0 + i) for i in range(30)] + [(50, 2, [3], 1.0), (51, 4, [1], 1.0), (52, 1, [4], 0.5)]
+    made = spark.createDataFrame(rows, "reaction long, product long, reactants array<long>, cost double")
+    stock = spark.createDataFrame([(3, 1.0), (4, 50.0)], "item long, price double")
+    each = made.select("reaction", "product", F.size("reactants").alias("_need"), "cost", F.posexplode("reactants").alias("_i", "_item"))
+    step = "array<struct<price:double,steps:array<struct<reaction:bigint,product:bigint>>,depth:int>>"
+    shelf = stock.select("item", F.array(F.struct("price", F.array(), F.lit(0))).cast(step).alias("_best"))
+    now = shelf.unionByName(spark.createDataFrame([(2, [(2.0, [(50, 2)], 1)])], f"item long, _best {step}"))
+    assert {r["reaction"] for r in synthesis._worth(each, now, shelf, 2).collect()} == {0, 1, 50}
+    found = {(r["item"], r["rank"]): (r["price"], [s["reaction"] for s in r["steps"]]) for r in synthesis.routes(made, stock, 2, 5).collect()}
+    assert found == {(1, 1): (12.0, [0, 50]), (1, 2): (13.0, [1, 50]), (2, 1): (2.0, [50]), (3, 1): (1.0, []), (4, 1): (13.0, [51, 0, 50]), (4, 2): (14.0, [51, 1, 50])}
