@@ -99,11 +99,17 @@ def replicates(df: DataFrame, value: str, by: list[str], drop_beyond: float = 2.
     """Mean, median, deviation, standard error and count of a group's values.
 
     In groups of more than two, values ``drop_beyond`` population deviations or more off the mean are left out; where the
-    deviation is 0 nothing is.
+    deviation is 0 nothing is. Whole values are held against the limit in whole numbers, so that one that lies exactly on it
+    is left out in whatever order a deviation's parts are added; others within the rounding of doubles.
     """
-    v = F.col(value)
-    df = _with_stats(df, by, _m=F.avg(value), _s=F.stddev_pop(value), _n=F.count(value))
-    near = (F.col("_n") <= 2) | (F.col("_s") == 0) | (F.abs(v - F.col("_m")) < drop_beyond * F.col("_s"))
+    v, x = F.col(value), F.col(value).cast("double")
+    whole = F.min((x == F.floor(x)) & (F.abs(x) < 1 << 26))
+    df = _with_stats(df, by, _m=F.avg(value), _s=F.stddev_pop(value), _n=F.count(value), _sum=F.sum(x), _squares=F.sum(x * x), _whole=whole)
+    # n (v - mean) and n times the deviation, squared: doubles are exact to 2^53, and no difference is more than n times the squares
+    off, spread = F.col("_n") * x - F.col("_sum"), F.col("_n") * F.col("_squares") - F.col("_sum") * F.col("_sum")
+    exact = F.col("_whole") & (F.greatest(F.lit(4.0), F.lit(float(drop_beyond) ** 2)) * F.col("_n") * F.col("_squares") * F.col("_n") < float(1 << 53))
+    inside = F.when(exact, off * off < float(drop_beyond) ** 2 * spread).otherwise(F.abs(v - F.col("_m")) < drop_beyond * F.col("_s"))
+    near = (F.col("_n") <= 2) | (F.col("_s") == 0) | inside
     kept = df.filter(near)
     stats = kept.groupBy(*by).agg(
         F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
