@@ -99,10 +99,10 @@ class Ensemble:
 def ensemble(df: DataFrame, features: list[str], y: str, key: str, members: int = 10, ridge: float = 1e-6, seed: int = 0) -> Ensemble:
     """``members`` lines in one pass: a row's weight in each is a Poisson draw by a hash of member and key, and the sums of all
     members are taken where the rows lie."""
-    from tesserae.operators.significance import _poisson
+    from tesserae.operators.significance import _drawn
 
-    drawn = df.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(members)))).withColumn("_weight", _poisson(key, seed)).filter("_weight > 0")
-    sums = _sums(drawn, features, y, [F.col("_rep")], F.col("_weight"))
+    drawn = _drawn(df.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(members)))), key, seed).filter("_w > 0")
+    sums = _sums(drawn, features, y, [F.col("_rep")], F.col("_w"))
     none = np.zeros((len(features) + 2,) * 2)
     return Ensemble([_solved(sums.get(k, none), features, ridge) for k in range(1, members + 1)])
 
